@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from juristream.llm import bpe, mixing, urls, wordpiece
+from juristream.llm import bpe, embeddings, mixing, topk, urls, wordpiece
 from juristream.llm.common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), PIECES)
 
@@ -32,5 +37,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op6_mixing, op8_url_filters, op9_byte_bpe)}
-ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL}
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_counts, op6_mixing, op8_url_filters, op9_byte_bpe, op10_exact_top_k)}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_exact_top_k": topk.SQL}
