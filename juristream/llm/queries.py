@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juristream.llm import bpe, embeddings, mixing, topk, urls, wordpiece
+from juristream.llm import bpe, embeddings, mixing, simhash, topk, urls, wordpiece
 from juristream.llm.common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,6 +25,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
@@ -42,5 +46,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_counts, op6_mixing, op8_url_filters, op9_byte_bpe, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_counts, op4_simhash_near_dedup, op6_mixing, op8_url_filters, op9_byte_bpe, op10_exact_top_k)}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_exact_top_k": topk.SQL}
