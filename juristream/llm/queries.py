@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juristream.llm import bpe, embeddings, mixing, simhash, topk, urls, wordpiece
-from juristream.llm.common import table
+from juristream.llm import bpe, embeddings, mixing, simhash, topk, toxicity, urls, warc, wordpiece
+from juristream.llm.common import shared_path, table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,10 +25,24 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path, with_payload=False)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, model, keep=["doc_id"], with_passages=False)
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc.doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    return scored.select("doc.doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
@@ -46,5 +60,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_counts, op4_simhash_near_dedup, op6_mixing, op8_url_filters, op9_byte_bpe, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_counts, op3_warc, op4_simhash_near_dedup, op5_toxicity, op6_mixing, op8_url_filters, op9_byte_bpe, op10_exact_top_k)}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_exact_top_k": topk.SQL}
