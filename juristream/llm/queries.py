@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juristream.llm import bpe, embeddings, mixing, simhash, topk, toxicity, urls, warc, wordpiece
+from juristream.llm import bpe, embeddings, mixing, passages, simhash, topk, toxicity, urls, warc, wordpiece
 from juristream.llm.common import shared_path, table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -48,6 +48,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], with_kept=False)
+    return found.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
@@ -60,5 +65,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_counts, op3_warc, op4_simhash_near_dedup, op5_toxicity, op6_mixing, op8_url_filters, op9_byte_bpe, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_counts, op3_warc, op4_simhash_near_dedup, op5_toxicity, op6_mixing, op7_suffix_array_dedup, op8_url_filters, op9_byte_bpe, op10_exact_top_k)}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_exact_top_k": topk.SQL}
