@@ -6,11 +6,50 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from juristream.llm import bpe
+from juristream.llm import bpe, mixing, passages, simhash, toxicity
 from juristream.llm.common import materialise, table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model learned from these documents' labels holds for clean."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, with_passages=False).where("predicted = 0").select("doc.*")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.one_of_each_group(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the passages that occur elsewhere too; n_chars follows the text. One may be left empty."""
+    found = passages.remove_repeats(docs, keep=[c for c in docs.columns if c != "text"], with_kept=False, with_text=True)
+    changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return found.select(*[changed.get(c, F.col(f"doc.{c}")).alias(c) for c in docs.columns])
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document in whole as often as the mix takes it, in whole or in part."""
+    return mixing.taken_documents(mixing.mix(docs))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256, round_trip of each document of the mix."""
+    return bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", without_toxic),
+    ("simhash_near_dedup", one_of_each_group),
+    ("suffix_array_dedup", without_repeats),
+    ("mixing", mixed),
+    ("byte_bpe", encoded),
+]
+#: Scans, suffix arrays and the tokenizer have no SQL form; tests/llm holds run() against brute force.
 ORACLE_SQL: str | None = None
 
 

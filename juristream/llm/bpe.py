@@ -16,6 +16,7 @@ from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -160,7 +161,7 @@ def model(data: bytes, pattern: str) -> ByteBPE:
 def encode(documents: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Encode each row's whole text, then decode the ids again.
 
-    Returns one row per input row: the id column, n_tokens, ids (array<long>, only if with_ids), ids_sha256 of the
+    Returns one row per input row: the id column, n_tokens, ids (array<int>, only if with_ids), ids_sha256 of the
     ids as little-endian unsigned 32-bit integers, decoded_sha256 of the decoded bytes, round_trip (whether these
     equal the text's bytes).
 
@@ -171,7 +172,7 @@ def encode(documents: DataFrame, path: str, pattern: str, *, id_col: str = "doc_
     ranks = spark.sparkContext.broadcast(load_ranks(path))
     one = documents.select(documents[id_col], documents[text_col])
     id_type = one.schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, n_tokens long" + ", ids array<long>" * with_ids + ", ids_sha256 string, decoded_sha256 string, round_trip boolean"
+    schema = f"`{id_col}` {id_type}, n_tokens long" + ", ids array<int>" * with_ids + ", ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(ranks.value, pattern)
@@ -184,11 +185,11 @@ def encode(documents: DataFrame, path: str, pattern: str, *, id_col: str = "doc_
                 back = m.decode(ids)
                 counts.append(len(ids))
                 if with_ids:
-                    ids_of.append(ids.tolist())
+                    ids_of.append(np.frombuffer(ids, np.int32))
                 a.append(sha(ids.tobytes()))
                 b.append(sha(back))
                 same.append(back == text.encode())
-            columns = [batch.column(0), pa.array(counts, pa.int64())] + [pa.array(ids_of, pa.list_(pa.int64()))] * with_ids
+            columns = [batch.column(0), pa.array(counts, pa.int64())] + [pa.array(ids_of, pa.list_(pa.int32()))] * with_ids
             columns += [pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256", "round_trip"])
 

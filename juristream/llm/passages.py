@@ -190,12 +190,13 @@ def hot_strings(cut: DataFrame, length: int) -> DataFrame:
     return rows.join(several, ["a", "b"]).select("id", "t", "at", (F.col("at") + length).alias("to"))
 
 
-def remove_repeats(documents: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_kept: bool = True) -> DataFrame:
+def remove_repeats(documents: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_kept: bool = True, with_text: bool = False) -> DataFrame:
     """Removes every byte of a text's UTF-8 covered by a string of `length` bytes that also starts anywhere else in the table, the same text
     included; all are judged on the input.
 
     Returns one row per input row: `doc` (a struct of the columns in `keep`, all by default), n_bytes, n_removed, n_spans (maximal removed
-    runs), kept_sha256 and, with with_kept, kept (binary).
+    runs), kept_sha256 and, with with_kept, kept (binary); with with_text, text, the same as a string: parts of characters that a cut leaves
+    behind are not in it.
 
     A null text counts as empty; texts shorter than `length` lose nothing. Strings never cross texts. Rows that repeat an id, or are equal, are
     places of their own, null ids too. An empty table gives an empty one.
@@ -209,7 +210,7 @@ def remove_repeats(documents: DataFrame, *, length: int = 400, id_col: str = "do
     rows = documents.select(doc, F.xxhash64(F.coalesce(ident, F.lit("")), ident.isNull()).alias("id"), F.xxhash64(text).alias("t"), F.encode(text, "UTF-8").alias("text"))
     spans = materialise(repeated_spans(rows.select("id", "t", "text"), length), "spans")
     kind = rows.schema["doc"].dataType.simpleString()
-    schema = f"doc {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    schema = f"doc {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept + ", text string" * with_text
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +226,9 @@ def remove_repeats(documents: DataFrame, *, length: int = 400, id_col: str = "do
                 digests.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
             columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs)), pa.array(digests, pa.string())] + [pa.array(kept, pa.binary())] * with_kept
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept])
+            if with_text:
+                columns.append(pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept, *["text"] * with_text])
 
     keys = spans.select("id", "t")
     few = keys.count() <= BROADCAST_ROWS
@@ -235,5 +238,5 @@ def remove_repeats(documents: DataFrame, *, length: int = 400, id_col: str = "do
     else:
         both = rows.join(spans, ["id", "t"], "left")
         hit, rest = both.where("spans IS NOT NULL"), both.where("spans IS NULL")
-    clean = rest.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *[F.col("text").alias("kept")] * with_kept)
+    clean = rest.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *[F.col("text").alias("kept")] * with_kept, *[F.col("text").cast("string").alias("text")] * with_text)
     return hit.select("doc", "text", "spans").mapInArrow(remove, schema).unionByName(clean)

@@ -28,6 +28,8 @@ CODED = 15
 GROUP_ROWS = 20_000
 #: Pairs compared at a time.
 CHUNK = 1 << 21
+#: Rows of ids and hashes that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
@@ -148,6 +150,27 @@ def linked_prints(distinct: DataFrame, threshold: int, group_rows: int = GROUP_R
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(threshold), "a long, b long")
 
 
+def _marked(documents: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """id, t (a hash of the text), print of every row, as a written table."""
+    id_type = documents.schema[id_col].dataType.simpleString()
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t.as_py() or "", shingle) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["id", "t", "print"])
+
+    text = documents[text_col]
+    rows = documents.select(documents[id_col].alias("id"), F.xxhash64(text, text.isNull()).alias("t"), text.alias("text"))
+    return materialise(rows.mapInArrow(prints, f"id {id_type}, t long, print long"), "prints")
+
+
+def _named(marked: DataFrame, threshold: int) -> DataFrame:
+    """print, component (a print), least (the smallest id) of every distinct print."""
+    distinct = marked.groupBy("print").agg(F.min("id").alias("least"))
+    groups = connected_components(linked_prints(distinct, threshold))
+    return distinct.join(groups, distinct["print"] == groups["node"], "left").select("print", "least", F.coalesce("component", "print").alias("component"))
+
+
 def near_duplicates(documents: DataFrame, *, shingle: int = 4, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of whole texts, and components of fingerprints that differ in at most `threshold` bits.
 
@@ -157,17 +180,39 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 4, threshold: int =
     Equal fingerprints are compared once. Repeated ids stay rows of their own; null ids never name a component
     (only components without any other id have a null name). Further columns are ignored; an empty table gives an empty one.
     """
-    id_type = documents.schema[id_col].dataType.simpleString()
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(t.as_py() or "", shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "print"])
-
-    marked = materialise(documents.select(documents[id_col], documents[text_col]).mapInArrow(prints, f"id {id_type}, print long"), "prints")
-    distinct = marked.groupBy("print").agg(F.min("id").alias("least"))
-    groups = connected_components(linked_prints(distinct, threshold))
-    named = distinct.join(groups, distinct["print"] == groups["node"], "left").select("print", "least", F.coalesce("component", "print").alias("component"))
+    marked = _marked(documents, shingle, id_col, text_col)
+    named = _named(marked, threshold)
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = named.join(smallest, "component").select("print", "component_id")
     return marked.join(ids, "print").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(documents: DataFrame, *, shingle: int = 4, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near-duplicates: of each component of near_duplicates() the row of smallest id stays, with all its columns.
+
+    Of rows that repeat that id the one of smallest text hash stays, of wholly equal rows one; a null id only stays where a component has
+    no other. Only ids and hashes are shuffled, unless so many rows go that a list of them can't be broadcast.
+    """
+    marked = _marked(documents, shingle, id_col, text_col)
+    named = _named(marked, threshold).select("print", "component")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first")
+    # Twice grouped: by print first, which combines before the shuffle, so a component of any size is a few rows.
+    best = marked.groupBy("print").agg(first).join(named, "print").groupBy("component").agg(F.min("first").alias("first"))
+    stays = materialise(best.select("first.id", "first.t"), "stays")
+    goes = materialise(marked.select("id", "t").distinct().join(stays, _same(marked, stays), "left_anti"), "goes")
+    key = F.struct(documents[id_col].alias("id"), F.xxhash64(documents[text_col], documents[text_col].isNull()).alias("t")).alias("key")
+    rows = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("doc"), key)
+    few = goes.count() <= BROADCAST_ROWS
+    out = F.broadcast(goes) if few else goes
+    left = rows.join(out, rows["key.id"].eqNullSafe(out["id"]) & (rows["key.t"] == out["t"]), "left_anti")
+    again = materialise(marked.groupBy("id", "t").agg(F.count("*").alias("n")).where("n > 1").join(stays, _same(marked, stays), "left_semi").select("id", "t"), "again")
+    n = again.count()
+    if not n:
+        return left.select("doc.*")
+    twice = F.broadcast(again) if n <= BROADCAST_ROWS else again
+    same = left["key.id"].eqNullSafe(twice["id"]) & (left["key.t"] == twice["t"])
+    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["key"])).select("doc.*")
+
+
+def _same(a: DataFrame, b: DataFrame):
+    return a["id"].eqNullSafe(b["id"]) & (a["t"] == b["t"])
