@@ -1,4 +1,7 @@
 """All registered queries of the engine's own operators, and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from juristream.plans import analytics, graphs, retrieval, tables, temporal, texts
+
+MODULES = (temporal, graphs, tables, analytics, texts, retrieval)
+QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES: dict = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
