@@ -9,7 +9,10 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
+#: Types as objects: workers import this module, and they have no session to parse names with.
+HUNKS = D.ArrayType(D.StructType([D.StructField(n, D.StringType()) for n in ("type", "old", "new")]))
 _CLAIM = re.compile(r"\d+(?:[.,]\d+)*|[^\W_]+")
 _ENCODINGS = ("utf-8", "utf-16", "cp1258", "cp1252", "latin-1")
 
@@ -22,13 +25,13 @@ def _words(text: str | None) -> list[str]:
     return (text or "").casefold().split()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(D.DoubleType())
 def token_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of the case-folded words; two empty texts are equal."""
     return pd.Series([_ratio(_words(x), _words(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(D.DoubleType())
 def claim_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """0.7 word F1 + 0.3 character ratio of normalised claims, six digits; 0 if either has no words."""
     return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -41,7 +44,7 @@ def similarity(a: str, b: str) -> float:
     return round(0.7 * (2 * len(x & y) / (len(x) + len(y))) + 0.3 * _ratio(a, b), 6)
 
 
-@F.pandas_udf("array<struct<type:string,old:string,new:string>>")
+@F.pandas_udf(HUNKS)
 def token_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     """What turns one text into the other, word by word: equal, replace, delete and insert hunks."""
     out = []
@@ -52,13 +55,13 @@ def token_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(D.StringType())
 def normalized_claim_nfkc(text: pd.Series) -> pd.Series:
     """As text.normalized_claim, after Unicode compatibility composition and full case folding."""
     return text.map(lambda t: " ".join(_CLAIM.findall(unicodedata.normalize("NFKC", t or "").casefold())))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(D.StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     return text.map(lambda t: html.unescape(t) if t is not None else None)
 
@@ -84,7 +87,7 @@ def mended(text: str) -> str:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(D.StringType())
 def repair_encoding(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", mended(t)) if t is not None else None)
 
@@ -106,6 +109,6 @@ def decoded(data: bytes) -> str:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(D.StringType())
 def decode_bytes(data: pd.Series) -> pd.Series:
     return data.map(lambda b: decoded(bytes(b)) if b is not None else None)
