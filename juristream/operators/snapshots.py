@@ -104,12 +104,12 @@ def preflight(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, root: str, version: str) -> str:
-    """Writes df as root/version and then points root/_current at it, by one rename where the file system has that."""
+    """Writes df as root/version and then points root/CURRENT at it, by one rename where the file system has that."""
     spark = df.sparkSession
     path = f"{root.rstrip('/')}/{version}"
     df.write.mode("errorifexists").parquet(path)
     jvm = spark._jvm
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_current")
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/CURRENT")
     fs = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(pointer, True)
     out.writeBytes(version)
@@ -119,5 +119,5 @@ def publish(df: DataFrame, root: str, version: str) -> str:
 
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The published snapshot."""
-    version = spark.read.text(f"{root.rstrip('/')}/_current").first()[0]
+    version = spark.read.text(f"{root.rstrip('/')}/CURRENT").first()[0]
     return spark.read.parquet(f"{root.rstrip('/')}/{version}")

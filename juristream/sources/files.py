@@ -43,7 +43,7 @@ def rtf_text(rtf: Column) -> Column:
 
 def split_files(spark: SparkSession, path: str, separator: str = r"(?m)^={5,}\s*$") -> DataFrame:
     """path, part (from 0), text: files that hold several documents, cut at separator lines; empty parts are left out."""
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     parts = whole.select("path", F.posexplode(F.split("value", separator)).alias("part", "text"))
     return parts.where(F.trim("text") != "")
 
@@ -61,7 +61,7 @@ def headed_texts(texts: DataFrame) -> DataFrame:
 
 def feed(spark: SparkSession, path: str, topics: list[str] | None = None) -> DataFrame:
     """id, title, text, link, published of RSS items and Atom entries in files; with topics, those that mention one."""
-    whole = spark.read.option("wholetext", "true").text(path).select("value")
+    whole = spark.read.text(path, wholetext=True).select("value")
     items = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)>"), 1)).alias("x"))
     tag = lambda names: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("x", rf"(?s)<(?:{names})\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</(?:{names})>", 1), r"<[^>]*>", " ")), F.lit(""))
     link = F.coalesce(tag("link"), F.nullif(F.regexp_extract("x", r'<link\b[^>]*href="([^"]+)"', 1), F.lit("")))
