@@ -26,8 +26,8 @@ BLOCKS = ((0, 24, 1), (24, 24, 1), (48, 16, 0))
 CODED = 15
 #: Rows of one anchor beyond which its rows are dealt to several groups.
 GROUP_ROWS = 20_000
-#: Pairs compared at a time.
-CHUNK = 1 << 21
+#: Pairs compared at a time: a few MB of arrays.
+CHUNK = 1 << 17
 #: Rows of ids and hashes that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
