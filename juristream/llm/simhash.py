@@ -139,7 +139,7 @@ def linked_prints(distinct: DataFrame, threshold: int, group_rows: int = GROUP_R
     if few:
         rows = rows.join(F.broadcast(hot) if few <= 10_000 else hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         own = F.pmod(F.xxhash64("print"), F.col("parts"))
-        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long"))
+        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
         # A print at home asks in its part's row of groups, and answers in its part's column like the others.
         asks = rows.where("at_home").select("anchor", F.col("own").alias("i"), F.col("other").alias("j"), "print", "at_home")
         answers = rows.select("anchor", F.col("other").alias("i"), F.col("own").alias("j"), "print", (F.col("at_home") & (F.col("parts") == 1)).alias("at_home"))
