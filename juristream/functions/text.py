@@ -263,7 +263,7 @@ def clean_text(text: Column) -> Column:
         (r"\n{3,}", "\n\n"),
     ):
         t = F.regexp_replace(t, pattern, to)
-    return F.trim(t)
+    return F.regexp_replace(t, r"\A\s+|\s+\z", "")
 
 
 def strip_html(html: Column) -> Column:

@@ -74,12 +74,12 @@ def first_by_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def cluster_claims(claims: DataFrame) -> DataFrame:
+def cluster_claims(claims: DataFrame, *, prefix: str = "misconception") -> DataFrame:
     """Claims (ykien_id, topic, legal_anchor_id, claim_text, created_at, nli_label, nli_score) that contradict with confidence, in clusters.
 
     In order of (created_at, ykien_id) a claim joins the cluster of the same topic, anchor, numbers and negations whose first claim is most similar,
     from 0.84 on, the earlier one in a tie; else it founds one. Equal claims are decided once. Groups are as narrow as these four keys
-    make them. Returns ykien_id, misconception_id, similarity, created.
+    make them. Returns ykien_id, misconception_id (a UUID named prefix:topic:anchor:claim of the first claim), similarity, created.
     """
     kept = claims.where((F.col("nli_label") == "mau_thuan") & (F.col("nli_score") >= CONFIDENT))
     named = kept.withColumn("normalized", arrow.normalized_claim_nfkc(F.col("claim_text")))
@@ -101,7 +101,7 @@ def cluster_claims(claims: DataFrame) -> DataFrame:
                 founders.append(text)
             to.append(best or text)
             values.append(value if best else 1.0)
-        ids = [str(uuid.uuid5(uuid.NAMESPACE_URL, f"cmc:misconception:{t}:{a}:{n}")) for t, a, n in zip(pdf["topic"], pdf["legal_anchor_id"], to, strict=True)]
+        ids = [str(uuid.uuid5(uuid.NAMESPACE_URL, f"{prefix}:{t}:{a}:{n}")) for t, a, n in zip(pdf["topic"], pdf["legal_anchor_id"], to, strict=True)]
         return pd.DataFrame({"topic": pdf["topic"], "legal_anchor_id": pdf["legal_anchor_id"], "signature": pdf["signature"], "normalized": pdf["normalized"], "misconception_id": ids, "similarity": values})
 
     assigned = distinct.groupBy("topic", "legal_anchor_id", "signature").applyInPandas(assign, "topic string, legal_anchor_id string, signature string, normalized string, misconception_id string, similarity double")

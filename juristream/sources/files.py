@@ -55,7 +55,7 @@ def headed_texts(texts: DataFrame) -> DataFrame:
     number = F.coalesce(field("số hiệu|so_hieu|so hieu"), stem)
     date = field("ngày ban hành|ngay_ban_hanh")
     issued = F.coalesce(F.try_to_date(date, "dd/MM/yyyy"), F.try_to_date(date, "yyyy-MM-dd"))
-    body = F.trim(F.regexp_replace("text", r"(?imU)\A(?:\s*[\w ]+\s*:.*\R)+", ""))
+    body = F.regexp_replace(F.regexp_replace("text", r"(?imU)\A(?:\s*[\w ]+\s*:.*\R)+", ""), r"\A\s+|\s+\z", "")
     return texts.select("path", number.alias("number"), T.document_number(number).alias("number_norm"), field("tiêu đề|ten|title").alias("title"), field("cơ quan|co_quan").alias("agency"), issued.alias("issued"), body.alias("body"))
 
 
