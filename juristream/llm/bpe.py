@@ -1,10 +1,10 @@
 """Operator 9: byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-Every pre-token is a linked list of byte pieces. A bucket per merge rank holds the positions at which a pair of
-that rank starts; a three-level bitmap over the ranks finds the lowest bucket that holds anything by
-find-first-set. Entries aren't removed when a merge changes a pair: they are recognised as stale when they are
-popped, and skipped. A pre-token of n bytes takes O(n log n) steps whatever its length, where the usual rescan
-for the smallest rank takes O(n^2).
+Every pre-token is a linked list of byte pieces, and many of them share one queue. A bucket per merge rank holds the
+positions at which a pair of that rank starts; a three-level bitmap over the ranks finds the lowest bucket that holds
+anything by find-first-set. Entries aren't removed when a merge changes a pair: they are recognised as stale when they
+are popped, and skipped. A bucket's merges are whole-array steps. n bytes take O(n log n) time however long their
+pre-tokens are, where the usual rescan for the smallest rank takes O(n^2).
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +26,53 @@ from juristream.llm.common import BoundedCache
 class RankQueue:
     """Buckets of positions by rank, under a bitmap of three levels.
 
-    One bit per rank, one per 64 ranks, one per 4096 ranks, these last in a single integer. A bucket is a heap, so
-    equal ranks merge from the left. All is empty again after a piece is done, so one queue serves a whole worker.
+    One bit per rank, one per 64 ranks, one per 4096 ranks, these last in a single integer. All is empty again once
+    everything is popped, so one queue serves a whole worker.
     """
 
     def __init__(self, ranks: int):
         self.low = [0] * ((ranks >> 6) + 1)
         self.mid = [0] * ((ranks >> 12) + 1)
-        self.buckets: dict[int, list[int]] = {}
+        self.top = 0
+        self.buckets: dict[int, list[np.ndarray]] = {}
+
+    def push(self, rank: int, positions: np.ndarray) -> None:
+        bucket = self.buckets.get(rank)
+        if bucket is not None:
+            bucket.append(positions)
+            return
+        self.buckets[rank] = [positions]
+        self.low[rank >> 6] |= 1 << (rank & 63)
+        self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
+        self.top |= 1 << (rank >> 12)
+
+    def pop(self) -> tuple[int, list[np.ndarray]]:
+        """The lowest rank that has positions, by find-first-set on each level, and its bucket."""
+        a = (self.top & -self.top).bit_length() - 1
+        word = self.mid[a]
+        b = a << 6 | (word & -word).bit_length() - 1
+        word = self.low[b]
+        rank = b << 6 | (word & -word).bit_length() - 1
+        self.low[b] = word & (word - 1)
+        if not self.low[b]:
+            self.mid[a] &= self.mid[a] - 1
+            if not self.mid[a]:
+                self.top &= self.top - 1
+        return rank, self.buckets.pop(rank)
+
+    def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        by = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[by], positions[by]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        for rank, some in zip(ranks[np.append(0, cuts)].tolist(), np.split(positions, cuts), strict=True):
+            self.push(rank, some)
 
 
 #: A space between two characters that are no white space always begins a pre-token of the usual patterns, which
 #: take one space in front of letters, digits or marks; so texts can be cut there, and the cuts remembered.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of texts that are looked at together.
+TOGETHER = 1 << 25
 
 
 class ByteBPE:
@@ -48,90 +81,122 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        size = max(ranks.values(), default=-1) + 1
+        self.queue = RankQueue(size)
+        self.tokens = [b""] * size
         for token, i in ranks.items():
             self.tokens[i] = token
-        self.pieces = BoundedCache(lambda piece: array("I", self.encode_piece(piece.encode())).tobytes(), 600_000)
-        self.chunks = BoundedCache(self.encode_chunk, 200_000)
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token. The queue's push and pop stand in line here: calls would take most of the time."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n, rank_of, queue = len(piece), ranks.get, self.queue
-        low, mid, buckets, top = queue.low, queue.mid, queue.buckets, 0
-        end = list(range(1, n + 1))  # of the part that starts here; also the next part's start
-        before = list(range(-1, n - 1))
-        pair = [-1] * n  # the rank at which this part would merge with the next; -1: none, or swallowed
-        for i in range(n - 1):
-            rank = rank_of(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                if rank in buckets:
-                    buckets[rank].append(i)  # ascending, so it stays a heap
-                else:
-                    buckets[rank] = [i]
-                    low[rank >> 6] |= 1 << (rank & 63)
-                    mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-                    top |= 1 << (rank >> 12)
-        while top:
-            a = (top & -top).bit_length() - 1
-            word = mid[a]
-            b = a << 6 | (word & -word).bit_length() - 1
-            word = low[b]
-            rank = b << 6 | (word & -word).bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
-            else:
-                i = bucket[0]
-                del buckets[rank]
-                low[b] = word = word & (word - 1)
-                if not word:
-                    mid[a] = word = mid[a] & (mid[a] - 1)
-                    if not word:
-                        top &= top - 1
-            if pair[i] != rank:
-                continue  # stale
-            j = end[i]
-            end[i] = after = end[j]
-            pair[j] = pair[i] = -1
-            near = ()
-            if after < n:
-                before[after] = i
-                near = ((i, end[after]),)
-            if i:
-                near += ((before[i], after),)
-            for h, to in near:
-                rank = rank_of(piece[h:to])
-                if rank is None:
-                    pair[h] = -1
-                elif pair[h] != rank:
-                    pair[h] = rank
-                    if rank in buckets:
-                        heappush(buckets[rank], h)
-                    else:
-                        buckets[rank] = [h]
-                        low[rank >> 6] |= 1 << (rank & 63)
-                        mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-                        top |= 1 << (rank >> 12)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
+        self.pieces: dict[str, bytes] = BoundedCache(lambda piece: self.encode_pieces([piece.encode()])[0], 600_000)
+        self.chunks: dict[str, bytes] = BoundedCache(self.encode_chunk, 300_000)
+        self.byte_id = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        # What two neighbours merge to, if their bytes together are a token: every way to cut a token into two tokens.
+        found = [(x, y, i) for token, i in ranks.items() for n in range(1, len(token)) if (x := ranks.get(token[:n])) is not None and (y := ranks.get(token[n:])) is not None]
+        self.left_right = np.array([x << 32 | y for x, y, _ in found], np.int64)
+        self.merges_to = np.array([i for *_, i in found], np.int32)
+        by = np.argsort(self.left_right)
+        self.left_right, self.merges_to = np.append(self.left_right[by], np.iinfo(np.int64).max), np.append(self.merges_to[by], np.int32(-1))
+        # Tokens that may be part of one of lower rank: a merge to such a token can make room for an earlier merge.
+        self.falls = np.zeros(size, bool)
+        self.falls[[x for pair in found for x in pair[:2] if pair[2] < x]] = True
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right.astype(np.int64)
+        at = np.searchsorted(self.left_right, key)
+        return np.where(self.left_right[at] == key, self.merges_to[at], np.int32(-1))
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of many pre-tokens, each as unsigned 32-bit integers, by one queue for all of them.
+
+        The pre-tokens lie behind one another; no merge crosses an end. As they don't touch, taking the lowest rank of all
+        is for each of them taking its own lowest. A bucket's positions merge at once, of overlapping ones the leftmost first.
+        """
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n, queue = len(data), self.queue
+        token, after, before = self.byte_id[data], np.arange(1, n + 1), np.arange(-1, n - 1)
+        whole = np.array([self.ranks.get(x, -1) for x in pieces], np.int32)
+        stop = np.repeat(ends, sizes)
+        before[(ends - sizes)[sizes > 0]] = -1
+        pair = np.full(n, -1, np.int32)
+        at = np.flatnonzero((after < stop) & np.repeat(whole < 0, sizes))
+        pair[at] = self.merged(token[at], token[at + 1])
+        alive = np.ones(n, bool)
+        at = at[pair[at] >= 0]
+        if len(at):
+            queue.push_all(pair[at], at)
+        while queue.top:
+            rank, bucket = queue.pop()
+            i = bucket[0] if len(bucket) == 1 else np.unique(np.concatenate(bucket))
+            i = i[pair[i] == rank]  # the others are stale
+            if not len(i):
+                continue
+            if len(i) > 1:
+                if self.falls[rank]:  # then the leftmost of each pre-token alone
+                    first = np.append(True, stop[i[1:]] != stop[i[:-1]])
+                    if not first.all():
+                        queue.push(rank, i[~first])
+                        i = i[first]
+                chained = np.append(False, i[1:] == after[i[:-1]])
+                if chained.any():
+                    place = np.arange(len(i))
+                    i = i[(place - np.maximum.accumulate(np.where(chained, 0, place))) % 2 == 0]
+            j = after[i]
+            then = after[j]
+            after[i], token[i], pair[i], pair[j], alive[j] = then, rank, -1, -1, False
+            goes_on = then < stop[i]
+            x, y = i[goes_on], then[goes_on]
+            before[y] = x
+            z = before[i]
+            z = z[z >= 0]
+            # Read after all of this bucket's merges are done, so neighbours that merged too are seen as they are now.
+            pair[x] = self.merged(token[x], token[y])
+            pair[z] = self.merged(token[z], token[after[z]])
+            new = np.concatenate([x, z])
+            new = new[pair[new] >= 0]
+            if len(new):
+                queue.push_all(pair[new], new)
+        ids = token[alive].astype("<u4").tobytes()
+        kept = np.concatenate([[0], np.cumsum(alive)])[np.concatenate([[0], ends])] * 4
+        out = [ids[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)]
+        for k in np.flatnonzero(whole >= 0).tolist():
+            out[k] = int(whole[k]).to_bytes(4, "little")
         return out
 
     def encode_chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(chunk)))
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as unsigned 32-bit integers."""
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= TOGETHER):
+                size += len(texts[hi])
+                hi += 1
+            yield from self.encode_some(texts[lo:hi])
+            lo = hi
+
+    def encode_some(self, texts: list[str]) -> Iterator[bytes]:
+        cut = []
+        for text in texts:
+            first, *rest = CUT.split(text)
+            cut.append([first, *(" " + x for x in rest)])
+        known = self.chunks.recall({x for chunks in cut for x in chunks})
+        split = {x: self.split(x) for x, y in known.items() if y is None}
+        of_piece = self.pieces.recall({x for pieces in split.values() for x in pieces})
+        new = [x for x, y in of_piece.items() if y is None]
+        found = dict(zip(new, self.encode_pieces([x.encode() for x in new]), strict=True))
+        of_piece |= found
+        self.pieces.remember(found)
+        found = {x: b"".join([of_piece[y] for y in pieces]) for x, pieces in split.items()}
+        known |= found
+        self.chunks.remember(found)
+        for chunks in cut:
+            yield b"".join([known[x] for x in chunks])
+
     def encode(self, text: str) -> array:
-        """The ids of a text, as unsigned 32-bit integers."""
-        first, *rest = CUT.split(text)
-        look = self.chunks.__getitem__
-        return array("I", look(first) + b"".join([look(" " + x) for x in rest]))
+        return array("I", next(iter(self.encode_all([text]))))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -179,14 +244,14 @@ def encode(documents: DataFrame, path: str, pattern: str, *, id_col: str = "doc_
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             counts, ids_of, a, b, same = [], [], [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                ids = m.encode(text)
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for text, raw in zip(texts, m.encode_all(texts), strict=True):
+                ids = array("I", raw)
                 back = m.decode(ids)
                 counts.append(len(ids))
                 if with_ids:
-                    ids_of.append(np.frombuffer(ids, np.int32))
-                a.append(sha(ids.tobytes()))
+                    ids_of.append(np.frombuffer(raw, np.int32))
+                a.append(sha(raw))
                 b.append(sha(back))
                 same.append(back == text.encode())
             columns = [batch.column(0), pa.array(counts, pa.int64())] + [pa.array(ids_of, pa.list_(pa.int32()))] * with_ids

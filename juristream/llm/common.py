@@ -70,3 +70,15 @@ class BoundedCache(dict):
                 self.clear()
             self[key] = value
         return value
+
+    def recall(self, keys) -> dict:
+        """What is remembered of each key, else None."""
+        return {k: self[k] if k in self else self.old.get(k) for k in keys}
+
+    def remember(self, found: dict) -> None:
+        for key, value in found.items():
+            if len(key) <= self.longest:
+                if len(self) >= self.half:
+                    self.old = dict(self)
+                    self.clear()
+                self[key] = value
