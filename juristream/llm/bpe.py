@@ -72,7 +72,7 @@ class RankQueue:
 #: take one space in front of letters, digits or marks; so texts can be cut there, and the cuts remembered.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of texts that are looked at together.
-TOGETHER = 1 << 25
+TOGETHER = 1 << 23
 
 
 class ByteBPE:
@@ -86,8 +86,8 @@ class ByteBPE:
         self.tokens = [b""] * size
         for token, i in ranks.items():
             self.tokens[i] = token
-        self.pieces: dict[str, bytes] = BoundedCache(lambda piece: self.encode_pieces([piece.encode()])[0], 600_000)
-        self.chunks: dict[str, bytes] = BoundedCache(self.encode_chunk, 300_000)
+        self.pieces: dict[str, bytes] = BoundedCache(lambda piece: self.encode_pieces([piece.encode()])[0], 300_000)
+        self.chunks: dict[str, bytes] = BoundedCache(self.encode_chunk, 200_000)
         self.byte_id = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         # What two neighbours merge to, if their bytes together are a token: every way to cut a token into two tokens.
         found = [(x, y, i) for token, i in ranks.items() for n in range(1, len(token)) if (x := ranks.get(token[:n])) is not None and (y := ranks.get(token[n:])) is not None]
