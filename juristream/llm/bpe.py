@@ -259,5 +259,8 @@ def encode(documents: DataFrame, path: str, pattern: str, *, id_col: str = "doc_
                 columns = [part.column(0), pa.array(counts, pa.int64())] + [pa.array(ids_of, pa.list_(pa.int32()))] * with_ids
                 columns += [pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256", "round_trip"])
+        # A worker goes on to other stages' tasks: it keeps the tables, not the texts' pieces.
+        m.chunks.forget()
+        m.pieces.forget()
 
     return one.mapInArrow(run, schema)

@@ -82,3 +82,7 @@ class BoundedCache(dict):
                     self.old = dict(self)
                     self.clear()
                 self[key] = value
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}

@@ -23,9 +23,9 @@ from juristream.llm.induced import SEPARATOR, permuted_prefixes, suffix_array
 
 ANCHOR = 64
 #: Bytes of stretches that one suffix array covers.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Of one anchor; the strings of more are dealt out by their own hash.
-HOT_BYTES = 4 << 20
+HOT_BYTES = 2 << 20
 #: Row keys that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Places of a text that are looked at together.
