@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -60,6 +61,53 @@ def test_embeddings(vectors):
     assert embeddings.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_isolated_pairs_in_dense_topics(spark):
+    """24,000 vectors: a third in a topic of mutual cosine 0.85, a third in one of 0.7, the rest even; isolated pairs in all."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
+    parts = [math.sqrt(c) * unit(rng.standard_normal(64)) + math.sqrt(1 - c) * unit(rng.standard_normal((8000, 64))) for c in (0.85, 0.7, 0.0)]
+    x = unit(np.concatenate(parts))
+    for at in (0, 8000, 16000):
+        own = x[at : at + 400]
+        way = rng.standard_normal(own.shape)
+        way = unit(way - (way * own).sum(axis=1, keepdims=True) * own)
+        x[at + 400 : at + 800] = 0.952 * own + math.sqrt(1 - 0.952**2) * way
+    x = x.astype(np.float32)
+    y = unit(x.astype(np.float64))
+    near = []
+    for at in range(0, len(y), 1000):
+        p, q = np.nonzero(y[at : at + 1000] @ y.T >= 0.95)
+        near += [(a + at, b) for a, b in zip(p.tolist(), q.tolist(), strict=True) if a + at < b]
+    rows = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = {r["vec_id"]: r["component_id"] for r in embeddings.near_duplicates(rows.repartition(8)).collect()}
+    want = union(near, range(len(x)))
+    assert len(near) >= 1200
+    for low, high in ((0, 8000), (8000, 16000), (16000, 24000)):
+        pairs = [(a, b) for a, b in near if low <= a < high]
+        assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+    assert all(want[a] == want[c] for a, c in got.items())
+
+
+def test_forest_recall():
+    """Pairs at cosine 0.952 share a leaf in 200,000 rows, a third of them in one topic of mutual cosine 0.85."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
+    n, k = 200_000, 66_000
+    x = unit(rng.standard_normal((n, 64)))
+    x[:k] = math.sqrt(0.85) * unit(rng.standard_normal(64)) + math.sqrt(0.15) * x[:k]
+    x = unit(x)
+    for at in (0, k):
+        own = x[at : at + 500]
+        way = rng.standard_normal(own.shape)
+        x[at + 500 : at + 1000] = 0.952 * own + math.sqrt(1 - 0.952**2) * unit(way - (way * own).sum(axis=1, keepdims=True) * own)
+    forest = embeddings.Forest(x[rng.permutation(n)[:8192]], n, 0.95, 0.995, 2048, 11)
+    leaves = forest.leaves(x)
+    assert forest.depth > 0
+    assert np.bincount(leaves[:, 0]).max() < 2 * n / 2**forest.depth
+    for at in (0, k):
+        assert (leaves[at : at + 500] == leaves[at + 500 : at + 1000]).any(axis=1).mean() >= 0.985
+
+
 def test_top_k(vectors):
     rows = {r["vec_id"]: r["embedding"] for r in vectors.collect()}
     usable = {i: [math.floor(256 * x) for x in v] for i, v in rows.items() if v and all(x is not None and math.isfinite(x) for x in v)}
