@@ -1,13 +1,16 @@
 """Ranked retrieval: exact, lexical, vector and neighbourhood rankings, fused by reciprocal rank.
 
 A ranking is a table (query_id, key, position, ...). Queries are tables too, so a batch of queries is one job: lexical
-scoring joins the queries' terms with postings on the term, vectors are scored against a query set of checked size.
+scoring joins the queries' terms with postings on the term, vectors are scored against a stated query set, in blocks if it is large.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,19 +94,78 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == F.size(y)) & (norm > 0), dot / norm)
 
 
-def vector_top_k(points: DataFrame, queries: DataFrame, *, key: str, vector: str, limit: int) -> DataFrame:
+def vector_top_k(points: DataFrame, queries: DataFrame, *, key: str, vector: str, limit: int, query_rows: int = 4096, point_rows: int = 8192) -> DataFrame:
     """query_id, key, score, position: each query's (query_id, vector) nearest points by cosine, among all of them.
 
-    The stated query set is broadcast if it has few rows, as it is meant to; then each task ranks its own points first.
+    A query set of few rows is broadcast; then each task ranks its own points first. A larger one and the points are
+    dealt by hash into blocks, all pairs of which are groups of bounded size.
     """
     asked = queries.select("query_id", F.col("vector").alias("_q"))
-    if not bounded(queries):
-        raise ValueError("vector_top_k compares every point with every query: ask in blocks of at most 10,000 queries")
-    every = points.select(F.col(key).alias("key"), F.col(vector).alias("_v")).crossJoin(F.broadcast(asked))
-    scored = every.select("query_id", "key", cosine(F.col("_v"), F.col("_q")).alias("score")).where("score IS NOT NULL")
+    every = points.select(F.col(key).alias("key"), F.col(vector).alias("_v"))
+    if bounded(queries):
+        every = every.crossJoin(F.broadcast(asked))
+        scored = every.select("query_id", "key", cosine(F.col("_v"), F.col("_q")).alias("score")).where("score IS NOT NULL")
+    else:
+        scored = _scored_in_blocks(every, asked, limit, query_rows, point_rows)
     return ranked(scored, ["query_id"], [F.desc("score"), F.col("key")], limit)
 
 
+def _scored_in_blocks(points: DataFrame, queries: DataFrame, limit: int, query_rows: int, point_rows: int) -> DataFrame:
+    """query_id, key, score: of each pair of blocks the best `limit` points for each query row, scored as cosine() does."""
+
+    def whole(df: DataFrame, v: str) -> DataFrame:
+        df = df.withColumn("vector", F.col(v).cast("array<double>")).drop(v)
+        return df.where((F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull())).withColumn("dims", F.size("vector"))
+
+    p, q = whole(points, "_v"), whole(queries, "_q")
+    q_blocks, p_blocks = -(-q.count() // query_rows) or 1, -(-p.count() // point_rows) or 1
+    deal = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    copies = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    types = {c: df.schema[c].dataType for df, c in ((p, "key"), (q, "query_id"))}
+    none = lambda c: F.lit(None).cast(types[c]).alias(c)
+    left = q.select("query_id", none("key"), "vector", "dims", F.lit(True).alias("asks"), deal("query_id", q_blocks).alias("qb"), copies(p_blocks).alias("pb"))
+    right = p.select(none("query_id"), "key", "vector", "dims", F.lit(False).alias("asks"), copies(q_blocks).alias("qb"), deal("key", p_blocks).alias("pb"))
+
+    def in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sums of products over the last axis from first to last, as cosine() adds them."""
+        total = np.zeros(np.broadcast_shapes(x.shape, y.shape)[:-1])
+        for i in range(x.shape[-1]):
+            total = total + x[..., i] * y[..., i]
+        return total
+
+    def block(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        asks = t["asks"].to_numpy(zero_copy_only=False)
+        x = t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        own, other = np.flatnonzero(asks), np.flatnonzero(~asks)
+        # Points in the order of their keys, so that of equal scores the first come first.
+        other = other[pc.sort_indices(t["key"].take(pa.array(other)), null_placement="at_start").to_numpy()]
+        v, rows, found, scores = x[other], [own[:0]], [other[:0]], [np.empty(0)]
+        with np.errstate(all="ignore"):
+            norms = np.sqrt(in_order(x, x))
+            for at in range(0, len(own) if len(other) else 0, 128):
+                some = own[at : at + 128]
+                norm = norms[some][:, None] * norms[other][None, :]
+                near = x[some] @ v.T / norm
+                rough = np.isfinite(near[norm != 0]).all()
+                if not rough:
+                    near = in_order(x[some][:, None, :], v[None, :, :]) / norm
+                # As Spark orders them: not-a-number is the largest. Pairs without a norm have no score.
+                near = np.where(norm == 0, -np.inf, np.where(np.isnan(near), np.inf, near))
+                least = np.partition(near, -limit, axis=1)[:, -limit] if limit < len(other) else np.full(len(some), -np.inf)
+                for n, i in enumerate(some):
+                    c = np.flatnonzero((near[n] >= least[n] - 1e-9) & (norm[n] != 0))
+                    score = in_order(x[i], v[c]) / norm[n, c]
+                    c_best = np.argsort(-np.where(np.isnan(score), np.inf, score), kind="stable")[:limit]
+                    rows.append(np.full(len(c_best), i))
+                    found.append(other[c[c_best]])
+                    scores.append(score[c_best])
+        return pa.table({"query_id": t["query_id"].take(pa.array(np.concatenate(rows))), "key": t["key"].take(pa.array(np.concatenate(found))), "score": pa.array(np.concatenate(scores))})
+
+    out = f"query_id {types['query_id'].simpleString()}, key {types['key'].simpleString()}, score double"
+    return left.unionByName(right).groupBy("dims", "qb", "pb").applyInArrow(block, out)
+
+
 def bad_vectors(points: DataFrame, vector: str, dims: int) -> DataFrame:
     """Points whose vector is null, of another size, or holds what is no finite number."""
     v = F.col(vector)

@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from juristream.functions import text as T
@@ -107,6 +108,17 @@ def test_instructions(spark):
     assert (rows[1]["old_phrase"], rows[1]["new_phrase"]) == ("cũ", "mới")
 
 
+def test_vectors_for_many_queries(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"p{i}", rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(60)] + [("zero", [0.0] * 4), ("none", None), ("hole", [1.0, None, 1.0, 1.0]), ("short", [1.0, 2.0])]
+    points = spark.createDataFrame(rows, "id string, v array<double>")
+    asked = spark.createDataFrame([(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(10_050)], "query_id long, vector array<double>")
+    top = lambda q: {(r["query_id"], r["position"]): (r["key"], r["score"]) for r in retrieval.vector_top_k(points, q, key="id", vector="v", limit=5, query_rows=3000, point_rows=20).collect()}
+    got = top(asked)
+    assert got == top(asked.where("query_id < 5000")) | top(asked.where("query_id >= 5000"))
+    assert len(got) > 50_000
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x")], "src string, dst string")
     assert {r["node"]: r["distance"] for r in graph.within_hops(e, spark.createDataFrame([("a",)], "node string"), 2).collect()} == {"a": 0, "b": 1, "c": 2}
