@@ -1,7 +1,7 @@
 """Graph operators on edge tables: reach in a few hops, version chains, cycles, degrees, neighbourhoods.
 
 Edges are rows (src, dst). Undirected work goes over both directions. Hops are joins with a bound number of rounds; a
-chain of unbound length doubles its reach each round, so a path of n edges takes log2(n) joins.
+chain of unbound length doubles its reach each round until nothing is new, so a path of n edges takes log2(n) joins.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from juristream.operators.lineage import cut
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every edge between two different nodes, once."""
@@ -59,23 +61,26 @@ def chains(edges: DataFrame, most_hops: int = 10) -> DataFrame:
     return out.select("root", F.col("at").alias("terminal"), "path", (F.size("path") - 1).alias("hops"))
 
 
-def reachable(edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """src, dst: pairs joined by a directed path of at most 2 ** rounds edges."""
-    pairs = edges.select("src", "dst").distinct()
-    for _ in range(rounds):
+def reachable(edges: DataFrame) -> DataFrame:
+    """src, dst: pairs joined by a directed path, however long. Each round doubles the reach; the first without a new pair is the last."""
+    pairs = cut(edges.select("src", "dst").distinct())
+    n = pairs.count()
+    while True:
         more = pairs.alias("a").join(pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
-        pairs = pairs.union(more).distinct()
-    return pairs
+        pairs = cut(pairs.union(more).distinct())
+        before, n = n, pairs.count()
+        if n == before:
+            return pairs
 
 
-def on_cycles(edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """Nodes from which a directed path of at most 2 ** rounds edges leads back."""
-    return reachable(edges, rounds).where("src = dst").select(F.col("src").alias("node"))
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes from which a directed path leads back."""
+    return reachable(edges).where("src = dst").select(F.col("src").alias("node"))
 
 
-def would_close_cycle(edges: DataFrame, new: DataFrame, rounds: int = 6) -> DataFrame:
+def would_close_cycle(edges: DataFrame, new: DataFrame) -> DataFrame:
     """New edges (src, dst) whose end already leads to their start, or that are loops."""
-    back = reachable(edges, rounds).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+    back = reachable(edges).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
     return new.where("src = dst").union(new.join(back, ["src", "dst"], "left_semi")).distinct()
 
 

@@ -78,4 +78,4 @@ def graph_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from juristream.plans.temporal import NAMES
 
     first = versions(spark, sf_dir).where("version_no <= 4")
-    return graph.reachable(transitions(first, NAMES).select(F.col("old_id").alias("src"), F.col("new_id").alias("dst")), rounds=2)
+    return graph.reachable(transitions(first, NAMES).select(F.col("old_id").alias("src"), F.col("new_id").alias("dst")))

@@ -176,7 +176,7 @@ def version_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     edges = transitions(v, NAMES).select(F.col("old_id").alias("src"), F.col("new_id").alias("dst"))
     ends = v.where("o_custkey % 5 = 0").groupBy("o_custkey").agg(F.max(F.when(F.col("version_no") == 3, F.col("o_orderkey"))).alias("src"), F.max(F.when(F.col("version_no") == 1, F.col("o_orderkey"))).alias("dst")).where("src IS NOT NULL")
-    return graph.on_cycles(edges.union(ends.select("src", "dst")), rounds=2)
+    return graph.on_cycles(edges.union(ends.select("src", "dst")))
 
 
 @found.add(r"""

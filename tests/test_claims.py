@@ -108,6 +108,15 @@ def test_instructions(spark):
     assert (rows[1]["old_phrase"], rows[1]["new_phrase"]) == ("cũ", "mới")
 
 
+def test_paths_of_any_length(spark):
+    ring = spark.createDataFrame([(i, (i + 1) % 100) for i in range(100)], "src int, dst int")
+    assert {r["node"] for r in graph.on_cycles(ring).collect()} == set(range(100))
+    path = ring.where("dst <> 0")
+    assert {tuple(r) for r in graph.reachable(path).collect()} == {(a, b) for a in range(100) for b in range(a + 1, 100)}
+    assert graph.would_close_cycle(path, spark.createDataFrame([(99, 0), (0, 99)], "src int, dst int")).collect() == [(99, 0)]
+    assert graph.reachable(ring.limit(0)).count() == 0
+
+
 def test_vectors_for_many_queries(spark):
     rng = np.random.default_rng(4)
     rows = [(f"p{i}", rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(60)] + [("zero", [0.0] * 4), ("none", None), ("hole", [1.0, None, 1.0, 1.0]), ("short", [1.0, 2.0])]
