@@ -68,6 +68,25 @@ def _lexical(rows: DataFrame) -> DataFrame:
     )
 
 
+def sampled(distinct: DataFrame, counts: dict[float, int], most: int) -> DataFrame:
+    """At most `most` (200 at least) of the distinct URLs, those with the smallest hashes of each label; no label is left without any.
+
+    A label has its share of them, and 100 if it has so many. A first cut at twice that share keeps the sort small.
+    """
+    most, parts, steps = max(most, 200), [], 1 << 30
+    least = {label: min(n, 100) for label, n in counts.items()}
+    spare = most - sum(least.values())
+    rest = max(1, sum(counts.values()) - sum(least.values()))
+    for label, n in counts.items():
+        quota = min(n, least[label] + int(spare * (n - least[label]) / rest))
+        part = distinct.where(F.col("label") == label)
+        if quota < n:
+            part = part.where(F.pmod(F.xxhash64("url"), F.lit(steps)) < int(min(1.0, 2 * quota / n) * steps))
+            part = part.orderBy(F.pmod(F.xxhash64("url"), F.lit(steps)), "url").limit(quota)
+        parts.append(part)
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+
+
 def judge(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]],
@@ -81,8 +100,8 @@ def judge(
 ) -> DataFrame:
     """A verdict (allow or block) for every URL: the longest fitting rule's, else the trees'.
 
-    The trees are fitted on about `sample_rows` of the URLs that rules decide, those with the smallest hashes: a
-    bounded sample of labelled rows, whose share falls as the table grows. All rows are judged. Suffix statistics
+    The trees are fitted on at most `sample_rows` of the distinct URLs that rules decide (see sampled), each weighing as
+    often as it occurs: a bounded sample, whose share falls as the table grows. All rows are judged. Suffix statistics
     (the smoothed share of block among sample rows with this last host label, or these last three path characters)
     come from the same sample, so their tables have no more rows than it.
 
@@ -97,18 +116,17 @@ def judge(
     label = (F.col("hit.verdict") == "block").cast("double")
     labelled = rows.where("hit IS NOT NULL").select("url", "host", "path", label.alias("label"))
 
-    seen = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows at most
+    # Rules see nothing but the URL, so equal URLs have one label.
+    distinct = labelled.groupBy("url").agg(*[F.any_value(c).alias(c) for c in ("host", "path", "label")], F.count("*").cast("double").alias("weight"))
+    seen = {r["label"]: r for r in distinct.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("rows")).collect()}  # two rows at most
     out = [F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule")]
     if len(seen) < 2:
         only = "block" if 1.0 in seen else "allow"
         return rows.select(*out, F.coalesce("hit.verdict", F.lit(only)).alias("verdict"), F.lit(float(1.0 in seen)).alias("p_block"))
 
-    share = min(1.0, sample_rows / sum(seen.values()))
-    steps = 1 << 30
-    sample = labelled.where(F.pmod(F.xxhash64("url"), F.lit(steps)) < int(share * steps)) if share < 1 else labelled
-    prior = seen[1.0] / sum(seen.values())
-    sample = _lexical(sample)
-    rate = ((F.sum("label") + 10 * prior) / (F.count("*") + 10)).cast("double")
+    prior = seen[1.0]["rows"] / sum(r["rows"] for r in seen.values())
+    sample = _lexical(sampled(distinct, {label: r["n"] for label, r in seen.items()}, sample_rows))
+    rate = ((F.sum(F.col("label") * F.col("weight")) + 10 * prior) / (F.sum("weight") + 10)).cast("double")
     tops = F.broadcast(sample.groupBy("top").agg(rate.alias("top_rate")))
     endings = F.broadcast(sample.groupBy("ending").agg(rate.alias("ending_rate")))
 
@@ -116,7 +134,7 @@ def judge(
         df = df.join(tops, "top", "left").join(endings, "ending", "left").fillna({"top_rate": prior, "ending_rate": prior})
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
-    trees_model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=seed, featuresCol="features", labelCol="label").fit(features(sample).select("features", "label"))
+    trees_model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=seed, featuresCol="features", labelCol="label", weightCol="weight").fit(features(sample).select("features", "label", "weight"))
     judged = trees_model.transform(features(_lexical(rows)))
     p = vector_to_array("probability")[1]
     verdict = F.coalesce("hit.verdict", F.when(p >= 0.5, "block").otherwise("allow"))

@@ -105,6 +105,17 @@ def test_urls(spark, sf_dir):
     assert {r["verdict"] for r in urls.judge(pages, ()).collect()} == {"allow"}
 
 
+def test_few_urls_often(spark):
+    """30 labelled URLs of 100 rows each, and one that holds a third of the table: each is sampled once, none is out by its hash."""
+    name = F.when(F.col("id") >= 3000, "http://a.com/de/hot").otherwise(F.concat(F.lit("http://a.com/"), F.when(F.col("id") % 3 == 0, "fr/").otherwise("de/"), (F.col("id") % 30).cast("string")))
+    pages = spark.range(4500).select(F.col("id").alias("page_id"), name.alias("url")).unionByName(spark.createDataFrame([(9000, "http://b.net/x")], "page_id long, url string"))
+    got = urls.judge(pages, queries.RULES, sample_rows=20, trees=2).groupBy("verdict").count().collect()
+    assert sum(r["count"] for r in got) == 4501
+    many = spark.range(5000).select(F.concat(F.lit("u"), "id").alias("url"), (F.col("id") < 10).cast("double").alias("label"))
+    found = {r["label"]: r["count"] for r in urls.sampled(many, {1.0: 10, 0.0: 4990}, 300).groupBy("label").count().collect()}
+    assert found[1.0] == 10 and 250 < found[0.0] <= 290
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
