@@ -88,24 +88,42 @@ def test_isolated_pairs_in_dense_topics(spark):
     assert all(want[a] == want[c] for a, c in got.items())
 
 
-def test_forest_recall():
-    """Pairs at cosine 0.952 share a leaf in 200,000 rows, a third of them in one topic of mutual cosine 0.85."""
+@pytest.mark.parametrize("base", [0.0, 0.6, 0.8])
+def test_recall_of_passes(base):
+    """Pairs at cosine 0.952 among 20,000 vectors of mutual cosine `base` come within the window of a pass."""
     rng = np.random.default_rng(5)
     unit = lambda x: x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
-    n, k = 200_000, 66_000
-    x = unit(rng.standard_normal((n, 64)))
-    x[:k] = math.sqrt(0.85) * unit(rng.standard_normal(64)) + math.sqrt(0.15) * x[:k]
-    x = unit(x)
-    for at in (0, k):
-        own = x[at : at + 500]
-        way = rng.standard_normal(own.shape)
-        x[at + 500 : at + 1000] = 0.952 * own + math.sqrt(1 - 0.952**2) * unit(way - (way * own).sum(axis=1, keepdims=True) * own)
-    forest = embeddings.Forest(x[rng.permutation(n)[:8192]], n, 0.95, 0.995, 2048, 11)
-    leaves = forest.leaves(x)
-    assert forest.depth > 0
-    assert np.bincount(leaves[:, 0]).max() < 2 * n / 2**forest.depth
-    for at in (0, k):
-        assert (leaves[at : at + 500] == leaves[at + 500 : at + 1000]).any(axis=1).mean() >= 0.985
+    n, k = 20_000, 5000
+    x = unit(math.sqrt(base) * unit(rng.standard_normal(64)) + math.sqrt(1 - base) * unit(rng.standard_normal((n, 64))))
+    way = rng.standard_normal((k, 64))
+    x[k : 2 * k] = 0.952 * x[:k] + math.sqrt(1 - 0.952**2) * unit(way - (way * x[:k]).sum(axis=1, keepdims=True) * x[:k])
+    plan = embeddings.Passes(x, n, 0.95, 0.995, 11)
+    assert 1 < len(plan.passes) <= 24 and plan.window < n / 4
+    met = np.zeros(k, bool)
+    for p in plan.passes:
+        keys = p.keys(x, rng.integers(0, 1 << embeddings.TIES, n))
+        place, part = np.empty(n, np.int64), p.ranges(keys)
+        place[np.argsort(keys)] = np.arange(n)
+        met |= (np.abs(place[:k] - place[k : 2 * k]) <= plan.window) & (part[:k] == part[k : 2 * k])
+    assert met.mean() >= 0.99
+
+
+def test_links_in_rings(spark):
+    """A tight group, a loose one and a chain, larger than a block: links counted by rings are those of all pairs."""
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
+    tight = unit(rng.standard_normal(16)) + 0.01 * rng.standard_normal((70, 16))
+    loose = unit(rng.standard_normal(16)) + 0.05 * rng.standard_normal((90, 16))
+    angles = np.linspace(0, 3, 60)
+    chain = np.zeros((60, 16))
+    chain[:, 0], chain[:, 1] = np.cos(angles), np.sin(angles)
+    x = np.concatenate([tight, loose, chain, tight[:5]])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(rows, block=16).collect()}
+    close = unit(x) @ unit(x).T >= 0.95
+    assert [got[i]["n_links"] for i in range(len(x))] == (close.sum(axis=1) - 1).tolist()
+    want = union([(a, b) for a, b in np.argwhere(close).tolist() if a < b], range(len(x)))
+    assert {i: r["component_id"] for i, r in got.items()} == want
 
 
 def test_top_k(vectors):
