@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from juristream.llm.common import BoundedCache
+from juristream.llm.common import BoundedCache, tidy
 
 
 class RankQueue:
@@ -263,4 +263,4 @@ def encode(documents: DataFrame, path: str, pattern: str, *, id_col: str = "doc_
         m.chunks.forget()
         m.pieces.forget()
 
-    return one.mapInArrow(run, schema)
+    return one.mapInArrow(tidy(run), schema)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of bytes that are neither space nor one of the five ASCII control blanks.
@@ -18,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset (local tests) a temporary folder takes its place.
+    Only where that is unset on a single machine (local tests) a temporary folder takes its place; on a cluster that would be a
+    folder that executors don't see.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="juristream-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -31,6 +40,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: The scopes that are open, each with the tables written in it so far.
+_open: list[list[tuple[SparkSession, str]]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -38,10 +51,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     recomputation can't repeat a nondeterministic choice (a range partitioning's sample, say) differently.
     """
     path = shared_path(df.sparkSession, name)
+    if _open:
+        _open[-1].append((df.sparkSession, path))
+    return written(df, path)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Tables that materialise() writes inside are deleted at the end. What is needed after it must have been written outside, or
+    within through finished()."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.pop():
+            drop_path(spark, path)
+
+
+def finished(df: DataFrame, name: str) -> DataFrame:
+    """A result written inside a scope() that stays when it ends (it belongs to the next scope outwards)."""
+    inner = _open.pop()
+    try:
+        return materialise(df, name)
+    finally:
+        _open.append(inner)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table of materialise() that nothing reads any more."""
     jvm = spark._jvm
@@ -49,6 +89,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back() -> None:
+    """Freed memory, back to the system: a worker process outlives its task, and idle ones beside it count too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow, with give_back() at the end of each task."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 class BoundedCache(dict):
     """key -> make(key), remembered for up to `most` keys that are at most `longest` long.
 

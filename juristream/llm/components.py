@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juristream.llm.common import materialise
+from juristream.llm.common import materialise, tidy
 
 MOST_STEPS = 60
 
@@ -48,12 +48,15 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, shrink: bool = True) -> DataFrame:
     """edges: two columns of long ids, in any order, repeated or reflexive. Returns node, component (its smallest
-    node) for every node of an edge that joins two different nodes; nodes without such edges don't appear."""
+    node) for every node of an edge that joins two different nodes; nodes without such edges don't appear.
+
+    shrink: whether each partition is first reduced to a forest; not needed where edges come as such.
+    """
     a, b = edges.columns
     one = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    stars = materialise(one.mapInArrow(_shrink, "a long, b long").distinct(), "edges")
+    stars = materialise((one.mapInArrow(tidy(_shrink), "a long, b long") if shrink else one).distinct(), "edges")
     state = None
     for _ in range(MOST_STEPS):
         large = _star(stars.union(stars.select("b", "a")), keep="both")

@@ -1,8 +1,7 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in whole-array steps.
 
 A suffix is of type S if it is smaller than the next one, else of type L; a leftmost S is one after an L. The
-substrings between these are named in order; the string of names, about a third as long, is sorted recursively (its names double
-their reach until they differ); and one pass over the character buckets upwards and one downwards induces all other
+substrings between these are named in order; the string of names, about a third as long, is sorted recursively; and one pass over the character buckets upwards and one downwards induces all other
 suffixes, each in time linear in the text. A bucket's own repeats of its character are induced in waves.
 """
 
@@ -79,32 +78,69 @@ def name_substrings(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
 
 
 def sort_names(names: np.ndarray) -> np.ndarray:
-    """The suffixes of a string of names, in order. Each round renames pairs of names, so names reach twice as far; only
-    suffixes that still share a name take part."""
-    m = len(names)
-    order = np.argsort(names, kind="stable")
-    rank = names
-    new = np.append(True, rank[order][1:] != rank[order][:-1])
-    start = np.flatnonzero(new)
-    rank = np.empty(m, np.int64)
-    rank[order] = np.repeat(start, np.diff(np.append(start, m)))  # a name is the place of its first suffix
-    reach = 1
-    while True:
-        shared = ~(new & np.append(new[1:], True))
-        active = np.flatnonzero(shared)
-        if not len(active):
-            return order
-        part = order[active]
-        behind = part + reach
-        second = np.where(behind < m, rank[np.minimum(behind, m - 1)], -1)
-        first = rank[part]
-        again = np.lexsort((second, first))
-        order[active] = part = part[again]
-        first, second = first[again], second[again]
-        begins = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))
-        new[active] = begins
-        rank[part] = active[np.maximum.accumulate(np.where(begins, np.arange(len(active)), 0))]
-        reach *= 2
+    """The suffixes of a string of names, in order: as the names themselves where no two are equal, else by induced sorting again."""
+    if names.max() + 1 == len(names):
+        return np.argsort(names, kind="stable")
+    return np.array(induced_order(names.tolist(), int(names.max()) + 1), np.int64)
+
+
+def induced_order(s: list[int], k: int) -> list[int]:
+    """The suffix array of a non-empty string of integers below k, in time linear in its length, one suffix after another.
+
+    Leftmost S suffixes are first put into their buckets in any order: inducing from them sorts the substrings between them.
+    The string of these substrings' names is sorted in the same way, and inducing from that order gives the order of all.
+    """
+    n = len(s)
+    small = bytearray(n)
+    for i in range(n - 2, -1, -1):
+        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
+    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
+    ends = np.cumsum(np.bincount(s, minlength=k)).tolist()
+    starts = [0, *ends[:-1]]
+
+    def induce(order: list[int]) -> list[int]:
+        sa, tail, head = [-1] * n, ends[:], starts[:]
+        for i in reversed(order):
+            c = s[i]
+            tail[c] -= 1
+            sa[tail[c]] = i
+        c = s[n - 1]  # the end is smaller than anything, so the last suffix leads its bucket
+        sa[head[c]] = n - 1
+        head[c] += 1
+        for i in range(n):
+            j = sa[i] - 1
+            if j >= 0 and not small[j]:
+                c = s[j]
+                sa[head[c]] = j
+                head[c] += 1
+        tail = ends[:]
+        for i in range(n - 1, -1, -1):
+            j = sa[i] - 1
+            if j >= 0 and small[j]:
+                c = s[j]
+                tail[c] -= 1
+                sa[tail[c]] = j
+        return sa
+
+    if not lms:
+        return induce([])
+    number = dict(zip(lms, range(len(lms)), strict=True))
+    stop = [*(j + 1 for j in lms[1:]), n + 1]
+    names, name, before = [0] * len(lms), -1, None
+    for i in induce(lms):
+        at = number.get(i)
+        if at is None:
+            continue
+        this = s[i : stop[at]] if stop[at] <= n else None  # the last reaches the end, as no other does
+        if this is None or this != before:
+            name += 1
+        names[at], before = name, this
+    if name + 1 < len(lms):
+        return induce([lms[i] for i in induced_order(names, name + 1)])
+    order = [0] * len(lms)
+    for at, i in enumerate(names):
+        order[i] = lms[at]
+    return induce(order)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juristream.llm.common import materialise
+from juristream.llm.common import finished, give_back, materialise, scope, tidy
 from juristream.llm.induced import SEPARATOR, permuted_prefixes, suffix_array
 
 ANCHOR = 64
@@ -26,8 +26,8 @@ ANCHOR = 64
 SHARD_BYTES = 1 << 19
 #: Of one anchor; the strings of more are dealt out by their own hash.
 HOT_BYTES = 2 << 20
-#: Row keys that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Of row keys that are broadcast, by a count of them first; more are joined by a shuffle.
+BROADCAST_BYTES = 12 << 20
 #: Places of a text that are looked at together.
 SPAN = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -110,10 +110,14 @@ def repeated_strings(owners: list[tuple], starts: list[int], texts: list[bytes],
         yield int(i), int(a - begins[i]), int(b - begins[i])
 
 
+def _few(keys: DataFrame) -> bool:
+    """Whether keys, a table of long columns, may be broadcast; a row of a hashed relation takes some 32 bytes besides."""
+    return keys.count() * (32 + 8 * len(keys.columns)) <= BROADCAST_BYTES
+
+
 def _near(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """df's rows whose keys are in `keys` (distinct): before anything large is shuffled, if the keys are few."""
-    few = keys.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+    return df.join(F.broadcast(keys) if _few(keys) else keys, on, "left_semi")
 
 
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
@@ -137,7 +141,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i > 3 else pa.int64()) for i, c in enumerate(columns)], names=["h", "s", "id", "t", "at", "size"])
 
     kinds = "h long, s long, id long, t long, at int, size int"
-    all_rows = materialise(texts.where(F.octet_length("text") >= length).select("id", "t", "text").mapInArrow(find, kinds), "stretches")
+    all_rows = materialise(texts.where(F.octet_length("text") >= length).select("id", "t", "text").mapInArrow(tidy(find), kinds), "stretches")
     repeated = materialise(all_rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-anchors")
     rows_left = materialise(_near(all_rows, repeated, ["h"]), "candidates")
     # One stretch stands for all equal ones; counts combine before the shuffle, so copies in thousands are no hot key.
@@ -160,6 +164,8 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
         ids, ts, at, parts = (table[c].to_pylist() for c in ("id", "t", "at", "part"))
         found = [(ids[i], ts[i], at[i] + a, at[i] + b - 1 + length) for i, a, b in repeated_strings(list(zip(ids, ts, strict=True)), at, parts, length)]
         columns = list(zip(*found, strict=True)) or [()] * 4
+        if table.nbytes > SHARD_BYTES // 2:
+            give_back()
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["id", "t", "at", "to"])
 
     usual = cut.where(F.col("bytes") <= HOT_BYTES).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
@@ -184,7 +190,7 @@ def hot_strings(cut: DataFrame, length: int) -> DataFrame:
                     names=["a", "b", "id", "t", "at"],
                 )
 
-    rows = materialise(cut.select("id", "t", "at", "part").mapInArrow(strings, "a long, b long, id long, t long, at long").distinct(), "hot-strings")
+    rows = materialise(cut.select("id", "t", "at", "part").mapInArrow(tidy(strings), "a long, b long, id long, t long, at long").distinct(), "hot-strings")
     place = F.struct("id", "t", "at")
     several = rows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("a", "b")
     return rows.join(several, ["a", "b"]).select("id", "t", "at", (F.col("at") + length).alias("to"))
@@ -208,7 +214,8 @@ def remove_repeats(documents: DataFrame, *, length: int = 400, id_col: str = "do
     doc = F.struct(*[documents[c] for c in keep]).alias("doc") if keep else F.struct(F.lit(None).alias("none")).alias("doc")
     ident = documents[id_col].cast("string")
     rows = documents.select(doc, F.xxhash64(F.coalesce(ident, F.lit("")), ident.isNull()).alias("id"), F.xxhash64(text).alias("t"), F.encode(text, "UTF-8").alias("text"))
-    spans = materialise(repeated_spans(rows.select("id", "t", "text"), length), "spans")
+    with scope():
+        spans = finished(repeated_spans(rows.select("id", "t", "text"), length), "spans")
     kind = rows.schema["doc"].dataType.simpleString()
     schema = f"doc {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept + ", text string" * with_text
 
@@ -231,12 +238,11 @@ def remove_repeats(documents: DataFrame, *, length: int = 400, id_col: str = "do
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept, *["text"] * with_text])
 
     keys = spans.select("id", "t")
-    few = keys.count() <= BROADCAST_ROWS
-    if few:  # only texts that lose something are shuffled
+    if _few(keys):  # only texts that lose something are shuffled
         hit = rows.join(F.broadcast(keys), ["id", "t"], "left_semi").join(spans, ["id", "t"])
         rest = rows.join(F.broadcast(keys), ["id", "t"], "left_anti")
     else:
         both = rows.join(spans, ["id", "t"], "left")
         hit, rest = both.where("spans IS NOT NULL"), both.where("spans IS NULL")
     clean = rest.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *[F.col("text").alias("kept")] * with_kept, *[F.col("text").cast("string").alias("text")] * with_text)
-    return hit.select("doc", "text", "spans").mapInArrow(remove, schema).unionByName(clean)
+    return hit.select("doc", "text", "spans").mapInArrow(tidy(remove), schema).unionByName(clean)

@@ -49,8 +49,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = passages.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], with_kept=False)
-    return found.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = passages.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], with_kept=False, with_text=True)
+    return found.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeats"), F.col("text").alias("kept_text"))
 
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))

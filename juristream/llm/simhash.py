@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juristream.llm.common import materialise
+from juristream.llm.common import finished, materialise, scope, tidy
 from juristream.llm.components import connected_components, local_roots
 
 #: (lowest bit, width, threshold) of each block.
@@ -28,8 +28,8 @@ CODED = 15
 GROUP_ROWS = 20_000
 #: Pairs compared at a time: a few MB of arrays.
 CHUNK = 1 << 17
-#: Rows of ids and hashes that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of ids and hashes (about 40 bytes) that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
@@ -87,7 +87,7 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(threshold: int):
-    """Over rows sorted by group: of each group, a forest of the pairs (home, any other) within the threshold."""
+    """Over rows sorted by group: a forest of the pairs (home, any other) of all groups within the threshold."""
 
     def pairs(group: np.ndarray, prints: np.ndarray, at_home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]))
@@ -112,6 +112,7 @@ def _compare(threshold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
+        a = b = np.empty(0, np.int64)
         for batch in batches:
             now = [np.stack([batch.column(c).to_numpy() for c in (0, 1, 2)], axis=1), batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)]
             if kept is not None:
@@ -119,11 +120,12 @@ def _compare(threshold: int):
             cut = len(now[0]) - int((now[0][::-1] == now[0][-1]).all(axis=1).argmin() if (now[0] != now[0][-1]).any() else len(now[0]))
             kept = [z[cut:] for z in now]  # the last group may go on in the next batch
             if cut:
-                a, b = pairs(*(z[:cut] for z in now))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                x, y = pairs(*(z[:cut] for z in now))
+                a, b = local_roots(np.concatenate([a, x]), np.concatenate([b, y]))
         if kept is not None and len(kept[0]):
-            a, b = pairs(*kept)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            x, y = pairs(*kept)
+            a, b = local_roots(np.concatenate([a, x]), np.concatenate([b, y]))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -147,7 +149,7 @@ def linked_prints(distinct: DataFrame, threshold: int, group_rows: int = GROUP_R
     else:
         rows = rows.select("anchor", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "print", "at_home")
     key = ["anchor", "i", "j"]
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(threshold), "a long, b long")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(tidy(_compare(threshold)), "a long, b long")
 
 
 def _marked(documents: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -161,14 +163,16 @@ def _marked(documents: DataFrame, shingle: int, id_col: str, text_col: str) -> D
 
     text = documents[text_col]
     rows = documents.select(documents[id_col].alias("id"), F.xxhash64(text, text.isNull()).alias("t"), text.alias("text"))
-    return materialise(rows.mapInArrow(prints, f"id {id_type}, t long, print long"), "prints")
+    return materialise(rows.mapInArrow(tidy(prints), f"id {id_type}, t long, print long"), "prints")
 
 
 def _named(marked: DataFrame, threshold: int) -> DataFrame:
-    """print, component (a print), least (the smallest id) of every distinct print."""
-    distinct = marked.groupBy("print").agg(F.min("id").alias("least"))
-    groups = connected_components(linked_prints(distinct, threshold))
-    return distinct.join(groups, distinct["print"] == groups["node"], "left").select("print", "least", F.coalesce("component", "print").alias("component"))
+    """print, component (a print), least (the smallest id) of every distinct print, as a written table."""
+    with scope():
+        distinct = marked.groupBy("print").agg(F.min("id").alias("least"))
+        groups = connected_components(linked_prints(distinct, threshold), shrink=False)
+        named = distinct.join(groups, distinct["print"] == groups["node"], "left").select("print", "least", F.coalesce("component", "print").alias("component"))
+        return finished(named, "named")
 
 
 def near_duplicates(documents: DataFrame, *, shingle: int = 4, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,19 +197,14 @@ def one_of_each_group(documents: DataFrame, *, shingle: int = 4, threshold: int
     Of rows that repeat that id the one of smallest text hash stays, of wholly equal rows one; a null id only stays where a component has
     no other. Only ids and hashes are shuffled, unless so many rows go that a list of them can't be broadcast.
     """
-    marked = _marked(documents, shingle, id_col, text_col)
-    named = _named(marked, threshold).select("print", "component")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first")
-    # Twice grouped: by print first, which combines before the shuffle, so a component of any size is a few rows.
-    best = marked.groupBy("print").agg(first).join(named, "print").groupBy("component").agg(F.min("first").alias("first"))
-    stays = materialise(best.select("first.id", "first.t"), "stays")
-    goes = materialise(marked.select("id", "t").distinct().join(stays, _same(marked, stays), "left_anti"), "goes")
+    with scope():
+        goes, again = _to_drop(_marked(documents, shingle, id_col, text_col), threshold)
+        goes, again = finished(goes, "goes"), finished(again, "again")
     key = F.struct(documents[id_col].alias("id"), F.xxhash64(documents[text_col], documents[text_col].isNull()).alias("t")).alias("key")
     rows = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("doc"), key)
     few = goes.count() <= BROADCAST_ROWS
     out = F.broadcast(goes) if few else goes
     left = rows.join(out, rows["key.id"].eqNullSafe(out["id"]) & (rows["key.t"] == out["t"]), "left_anti")
-    again = materialise(marked.groupBy("id", "t").agg(F.count("*").alias("n")).where("n > 1").join(stays, _same(marked, stays), "left_semi").select("id", "t"), "again")
     n = again.count()
     if not n:
         return left.select("doc.*")
@@ -214,5 +213,17 @@ def one_of_each_group(documents: DataFrame, *, shingle: int = 4, threshold: int
     return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["key"])).select("doc.*")
 
 
+def _to_drop(marked: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(id, t) of the rows that go, and of those that stay but occur more than once."""
+    named = _named(marked, threshold).select("print", "component")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first")
+    # Twice grouped: by print first, which combines before the shuffle, so a component of any size is a few rows.
+    best = marked.groupBy("print").agg(first).join(named, "print").groupBy("component").agg(F.min("first").alias("first"))
+    stays = materialise(best.select("first.id", "first.t"), "stays")
+    goes = marked.select("id", "t").distinct().join(stays, _same(marked, stays), "left_anti")
+    again = marked.groupBy("id", "t").agg(F.count("*").alias("n")).where("n > 1").join(stays, _same(marked, stays), "left_semi").select("id", "t")
+    return goes, again
+
+
 def _same(a: DataFrame, b: DataFrame):
     return a["id"].eqNullSafe(b["id"]) & (a["t"] == b["t"])

@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juristream.llm.common import BoundedCache, materialise
+from juristream.llm.common import BoundedCache, give_back, materialise, scope, tidy
 
 EDGE = b".,;:!?\"'()[]{}<>*#$%&|-_"
 #: Upper ends of the evidence bins of the calibration.
 BINS = [0.0] + [0.25 * 1.35**i for i in range(22)]
+#: Words of which a counting task holds figures at once, and words whose scores a scoring task remembers.
+COUNTED, REMEMBERED = 100_000, 200_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -90,7 +92,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         scores, rest = model.scores, model.rest
-        self.cache = BoundedCache(lambda word: max((scores[t] for t in traits(word.strip(EDGE)) if t in scores), default=rest), 400_000)
+        self.cache = BoundedCache(lambda word: max((scores[t] for t in traits(word.strip(EDGE)) if t in scores), default=rest), REMEMBERED)
 
     def passages(self, text: str) -> tuple[list[tuple[int, int, float, float]], int]:
         """(first word, last word, score, E-value) of every maximal segment, and the number of words."""
@@ -130,7 +132,13 @@ def rising(toxic: list[float], rows: list[float], base: float) -> list[float]:
     return [t / n for t, n, c in pools for _ in range(int(c))]
 
 
-def learn(
+def learn(documents: DataFrame, labels: DataFrame, **options) -> Model:
+    """See _learn. The tables that learning writes are deleted at its end."""
+    with scope():
+        return _learn(documents, labels, **options)
+
+
+def _learn(
     documents: DataFrame,
     labels: DataFrame,
     *,
@@ -147,8 +155,9 @@ def learn(
     """A model from the labelled documents whose crc32(id as text) mod 4 isn't `held_out`.
 
     At most about `sample_rows` labelled rows are used, those with the smallest hashes: the one bounded sample here, and small
-    enough to broadcast, so no text is shuffled. Words come from two of the remainders, the calibration from the third. Equal texts
-    count once, so copies don't lend their words weight. Words with |z| >= least_z are kept, the `most_words` of largest |z|.
+    enough to broadcast, so no other text is moved; their texts are written once, and all else is learned from that table. Words come
+    from two of the remainders, the calibration from the third. Equal texts count once, so copies don't lend their words weight. Words
+    with |z| >= least_z are kept, the `most_words` of largest |z| (of equal ones the first in byte order).
 
     Rows without a label or id are skipped; an id labelled more than once counts as its largest label. Without both classes the model
     knows no words and gives every document the base rate (0 if there are no labels).
@@ -160,8 +169,11 @@ def learn(
     steps = 1 << 30
     sample = known.where(F.pmod(F.xxhash64("id"), F.lit(steps)) < int(min(1.0, sample_rows / max(1, n)) * steps))
     texts = documents.select(documents[id_col].alias("id"), F.coalesce(documents[text_col], F.lit("")).alias("text"))
-    marked = texts.join(F.broadcast(sample), "id").select("id", "y", F.xxhash64("text").alias("h"))
-    chosen = materialise(marked.groupBy("h").agg(F.min("id").alias("id"), F.round(F.avg("y")).cast("int").alias("y")).select("id", "y", fold(F.col("id")).alias("fold")), "labelled")
+    marked = texts.join(F.broadcast(sample), "id").select(F.monotonically_increasing_id().alias("row"), "id", "y", F.xxhash64("text").alias("h"), "text")
+    marked = materialise(marked, "labelled-texts")
+    one = marked.groupBy("h").agg(F.min(F.struct("id", "row")).alias("one"), F.round(F.avg("y")).cast("int").alias("y"))
+    chosen = materialise(one.select("one.row", "y", fold(F.col("one.id")).alias("fold")), "labelled")
+    labelled = marked.select("row", "text").join(F.broadcast(chosen), "row").select("y", "fold", "text")
     calibration = (held_out + 1) % 4
     sizes = {(r["y"], r["c"]): r["n"] for r in chosen.groupBy("y", (F.col("fold") == calibration).alias("c")).agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get((1, False), 0), sizes.get((0, False), 0)
@@ -194,12 +206,13 @@ def learn(
                     c = seen.setdefault(word, [0, 0, 0])
                     c[1 - y] += 1
                     c[2] += times * (1 - y)
-                if len(seen) > 200_000:
+                if len(seen) > COUNTED:
                     yield out()
         yield out()
 
-    train = texts.join(F.broadcast(chosen.where(F.col("fold") != calibration)), "id").select("y", "text")
-    words = train.mapInArrow(count, "word binary, toxic long, clean long, times long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "times")])
+    train = labelled.where(F.col("fold") != calibration).select("y", "text")
+    words = train.mapInArrow(tidy(count), "word binary, toxic long, clean long, times long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "times")])
+    words = materialise(words, "words")
     # The prior adds so many documents to either class, with the word as frequent in them as in all.
     prior_documents = prior_share * (toxic + clean)
     p = F.lit(prior_documents) * (F.col("toxic") + F.col("clean")) / F.lit(float(toxic + clean))
@@ -215,7 +228,7 @@ def learn(
         return model
     model.rate = solve_rate(counts)
 
-    held = texts.join(F.broadcast(chosen.where(F.col("fold") == calibration)), "id").select("y", "text")
+    held = labelled.where(F.col("fold") == calibration).select("y", "text")
     base_model = Model(model.scores, model.rest, model.rate)
 
     def clean_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +239,7 @@ def learn(
                 found, length = found + len(passages), length + n
         yield pa.RecordBatch.from_arrays([pa.array([found]), pa.array([length])], names=["found", "length"])
 
-    r = held.where("y = 0").mapInArrow(clean_segments, "found long, length long").agg(F.sum("found"), F.sum("length")).first()
+    r = held.where("y = 0").mapInArrow(tidy(clean_segments), "found long, length long").agg(F.sum("found"), F.sum("length")).first()
     model.k = ((r[0] or 0) + 1) / ((r[1] or 0) + 1)
     fixed = Model(model.scores, model.rest, model.rate, model.k)
 
@@ -237,7 +250,7 @@ def learn(
                 rows[bisect.bisect_left(BINS, scorer.evidence(scorer.passages(text.as_py())[0]))][y] += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1))], names=["bin", "clean", "toxic"])
 
-    table = {r["bin"]: r for r in held.mapInArrow(bins, "bin int, clean long, toxic long").groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()}
+    table = {r["bin"]: r for r in held.mapInArrow(tidy(bins), "bin int, clean long, toxic long").groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()}
     found = [(table[i]["toxic"], table[i]["toxic"] + table[i]["clean"]) if i in table else (0, 0) for i in range(len(BINS) + 1)]
     model.levels = rising([t for t, _ in found], [n for _, n in found], base)
     return model
@@ -247,24 +260,27 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
     """Every row's whole text scored: `doc` (a struct of the columns in `keep`, all by default), score (0 to 1), predicted (1 if
     score >= limit) and, if asked for, passages: array of (first_word, last_word, score, e_value) with e_value < 1.
 
-    A null or empty text has no passage and gets the score of no evidence. No shuffle; only the text reaches Python with `keep`.
+    A null or empty text has no passage and gets the score of no evidence. Null and repeated ids, repeated rows and texts of any length
+    are scored like others; an empty table gives an empty one. No shuffle; only the text goes to Python, and only figures come back.
     """
     keep = documents.columns if keep is None else keep
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(F.struct(*[documents[c] for c in keep]).alias("doc"), documents[text_col].alias("text"))
-    kind = rows.schema["doc"].dataType.simpleString()
-    more = ", passages array<struct<first_word:long,last_word:long,score:double,e_value:double>>" * with_passages
     passage = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())]))
+    more = ", passages: array<struct<first_word: bigint, last_word: bigint, score: double, e_value: double>>" * with_passages
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(f"struct<score: double, predicted: int{more}>")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
-        for batch in batches:
+        for texts in batches:
             probability, spans = [], []
-            for text in batch.column(1):
+            for text in texts:
                 passages, _ = scorer.passages(text.as_py() or "")
                 probability.append(scorer.probability(scorer.evidence(passages)))
                 spans.append([dict(zip(("first_word", "last_word", "score", "e_value"), p, strict=True)) for p in passages if p[3] < 1] if with_passages else None)
-            columns = [batch.column(0), pa.array(probability, pa.float64()), pa.array([int(p >= limit) for p in probability], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(spans, passage)] * with_passages, names=["doc", "score", "predicted", *["passages"] * with_passages])
+            columns = [pa.array(probability, pa.float64()), pa.array([int(p >= limit) for p in probability], pa.int32())] + [pa.array(spans, passage)] * with_passages
+            yield pa.StructArray.from_arrays(columns, names=["score", "predicted", *["passages"] * with_passages])
+        del scorer
+        give_back()
 
-    return rows.mapInArrow(run, f"doc {kind}, score double, predicted int{more}")
+    doc = F.struct(*[documents[c] for c in keep]).alias("doc")
+    return documents.select(doc, judged(documents[text_col]).alias("found")).select("doc", "found.*")
