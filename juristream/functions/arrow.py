@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import html
+import io
 import re
 import unicodedata
+import zipfile
 from difflib import SequenceMatcher
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as D
 
+from juristream.functions.text import FORM_RUNS, LETTERS, MARKS
+
 #: Types as objects: workers import this module, and they have no session to parse names with.
 HUNKS = D.ArrayType(D.StructType([D.StructField(n, D.StringType()) for n in ("type", "old", "new")]))
 _CLAIM = re.compile(r"\d+(?:[.,]\d+)*|[^\W_]+")
-_ENCODINGS = ("utf-8", "utf-16", "cp1258", "cp1252", "latin-1")
 
 
 def _ratio(a: list | str, b: list | str) -> float:
@@ -66,23 +70,34 @@ def unescape_html(text: pd.Series) -> pd.Series:
     return text.map(lambda t: html.unescape(t) if t is not None else None)
 
 
+_LETTER, _ODD, _RUN = re.compile(f"[{LETTERS}]"), re.compile(rf"[^\w\s{LETTERS}{MARKS}]"), re.compile(FORM_RUNS)
+
+
 def quality(text: str) -> float:
-    n = max(1, len(text))
-    letters = sum(map(str.isalpha, text)) / n
-    odd = sum(c == "�" or (ord(c) < 32 and c not in "\t\n\r") for c in text) / n
-    return letters - 2 * odd
+    """text.text_quality of one string, for choosing between decodings."""
+    t = text.strip()
+    if len(t) < 20:
+        return 0.0
+    value = (len(_LETTER.findall(t)) - 2 * len(_ODD.findall(t))) / len(t) - 0.05 * t.count("\ufffd") - 0.15 * bool(_RUN.search(t)) - 0.2 * (t.count(".") / len(t) > 0.08)
+    return max(0.0, min(1.0, value))
+
+
+# What UTF-8 read as a single-byte encoding looks like, and letters that such a text lacks.
+MISREAD = ("Ã", "Â", "Ä", "Å", "á»", "áº", "Æ°", "Æ¡")
+REGAINED = ("ệ", "ễ", "ộ", "ấ")
 
 
 def mended(text: str) -> str:
     """UTF-8 that was once read as a single-byte encoding, read again; only if that makes the text no worse."""
-    if not re.search("[ÃÂÆáºá»]", text):
+    if not any(m in text for m in MISREAD):
         return text
     for encoding in ("latin-1", "cp1252"):
         try:
             again = text.encode(encoding).decode("utf-8")
         except UnicodeError:
             continue
-        if quality(again) >= quality(text):
+        regained = any(c in again for c in REGAINED) or again.count("Ã") < text.count("Ã")
+        if quality(again) >= quality(text) and (regained or not any(m in again for m in MISREAD)):
             return again
     return text
 
@@ -92,18 +107,34 @@ def repair_encoding(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", mended(t)) if t is not None else None)
 
 
+def _wide(data: bytes) -> str | None:
+    """The byte order of UTF-16 without a mark: zero bytes, which UTF-8 texts lack, all in the upper halves of characters."""
+    if not data or len(data) % 2:
+        return None
+    even, odd = data[::2].count(0), data[1::2].count(0)
+    if 8 * max(even, odd) < len(data) // 2 or min(even, odd):
+        return None
+    return "utf-16-le" if odd else "utf-16-be"
+
+
 def decoded(data: bytes) -> str:
-    """By its byte-order mark, else the decoding of best quality, UTF-8 preferred a little."""
+    """By its byte-order mark or the zero bytes of UTF-16; else UTF-8 wherever it is valid; else the single-byte encoding of best quality."""
     for mark, encoding in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if data.startswith(mark):
             return data.decode(encoding, "replace")
-    best, text = float("-inf"), ""
-    for encoding in _ENCODINGS:
+    for encoding in (_wide(data), "utf-8"):
+        try:
+            if encoding:
+                return data.decode(encoding)
+        except UnicodeError:
+            continue
+    best, text = -1.0, ""
+    for encoding in ("cp1258", "cp1252", "latin-1"):
         try:
             found = data.decode(encoding)
         except UnicodeError:
             continue
-        value = quality(found) + 0.05 * (encoding == "utf-8")
+        value = quality(found) if len(found) >= 20 else 0.1
         if value > best:
             best, text = value, found
     return text
@@ -112,3 +143,39 @@ def decoded(data: bytes) -> str:
 @F.pandas_udf(D.StringType())
 def decode_bytes(data: pd.Series) -> pd.Series:
     return data.map(lambda b: decoded(bytes(b)) if b is not None else None)
+
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_lines(data: bytes) -> str:
+    """A word-processing package's paragraphs, a line each, and table rows as lines of cells; in the document's order."""
+    with zipfile.ZipFile(io.BytesIO(data)) as package:
+        body = ElementTree.fromstring(package.read("word/document.xml")).find(f"{_W}body")
+
+    def words(paragraph) -> str:
+        pieces = {f"{_W}t": lambda e: e.text or "", f"{_W}tab": lambda e: "\t", f"{_W}br": lambda e: "\n"}
+        return "".join(pieces[e.tag](e) for e in paragraph.iter() if e.tag in pieces)
+
+    lines = []
+    for part in body if body is not None else ():
+        if part.tag == f"{_W}p":
+            lines.append(words(part))
+        elif part.tag == f"{_W}tbl":
+            for row in part.iter(f"{_W}tr"):
+                cells = (" ".join(words(p).strip() for p in cell.iter(f"{_W}p")).strip() for cell in row.iter(f"{_W}tc"))
+                lines.append(" | ".join(c for c in cells if c))
+    return "\n".join(lines)
+
+
+@F.pandas_udf(D.StringType())
+def docx_text(data: pd.Series) -> pd.Series:
+    """Null where the bytes are no such package."""
+
+    def one(raw) -> str | None:
+        try:
+            return docx_lines(bytes(raw)) if raw is not None else None
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+            return None
+
+    return data.map(one)

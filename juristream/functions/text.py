@@ -221,25 +221,46 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+# The letters and marks of readable prose, as bodies of character classes, and the runs of marks that forms have.
+LETTERS = "A-Za-zÀ-ỹĐđ"
+MARKS = ".,;:!?()/%+\\-–—\"'“”‘’\\[\\]{}|/\\\\@#&*=<>°‰…"
+PASSAGE_MARKS = ".,;:()/%\\-–—"
+FORM_RUNS = r"\.{8,}|_{8,}|-{8,}"
+PASSAGE_RUNS = r"\.{8,}|…{3,}|-{8,}|_{8,}"
+#: White space beyond what Java's class has, as the values above count it.
+MORE_SPACE = r"\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def _left(text: Column, without: str) -> Column:
+    """How many characters are left of a text once runs of `without` are taken out."""
+    return F.length(F.regexp_replace(text, without + "+", ""))
+
+
+def _times(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
+
 def text_quality(text: Column) -> Column:
-    """0 to 1: the share of letters, less twice the share of odd characters, less replacement marks and dotted leaders."""
-    t = F.coalesce(text, F.lit(""))
+    """0 to 1: the share of letters, less twice the share of odd characters, 0.05 for each replacement mark, 0.15 for a run of eight
+    dots, lines or dashes and 0.2 where more than 0.08 are dots. Below 20 characters 0."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"\A[\s{MORE_SPACE}]+|[\s{MORE_SPACE}]+\z", "")
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    letters = count_matches(t, r"\p{L}") / n
-    odd = count_matches(t, r"[\x{FFFD}\x{25A1}\x{25A0}\x{25CF}\x00-\x08\x0B\x0C\x0E-\x1F]") / n
-    marks = count_matches(t, r"\x{FFFD}").cast("double")
-    leaders = F.when(F.regexp_like(t, F.lit(r"\.{5,}")), 0.15).otherwise(0.0)
-    dense = F.when(count_matches(t, r"\.") / n > 0.12, 0.2).otherwise(0.0)
-    value = letters - 2 * odd - 0.05 * marks - leaders - dense
-    return F.when(F.length(F.trim(t)) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
+    letters = _left(t, f"[^{LETTERS}]") / n
+    odd = _left(t, rf"[\p{{L}}\p{{N}}_\s{MORE_SPACE}{LETTERS}{MARKS}]") / n
+    runs = F.when(F.regexp_like(t, F.lit(FORM_RUNS)), 0.15).otherwise(0.0)
+    dense = F.when(_times(t, ".") / n > 0.08, 0.2).otherwise(0.0)
+    value = letters - 2 * odd - 0.05 * _times(t, "\ufffd") - runs - dense
+    return F.when(F.length(t) < 20, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def readable(text: Column) -> Column:
-    """Whether a passage can be quoted: long enough, enough letters, no dotted forms, few dots and odd characters."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    """Whether a passage can be quoted: 20 characters, 12 letters, no runs of form marks, few dots and odd characters."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"\A[\s{MORE_SPACE}]+|[\s{MORE_SPACE}]+\z", "")
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    odd = count_matches(t, r"[^\p{L}\p{N}\s.,;:!?()\[\]\"'“”‘’/%+\-–—…]")
-    return (F.length(t) >= 20) & ~F.regexp_like(t, F.lit(r"\.{5,}|…{2,}|(?:\.\s){5,}")) & (count_matches(t, r"\.") / n <= 0.08) & (count_matches(t, r"\p{L}") >= 12) & (odd / n < 0.08)
+    dots = _times(t, ".")
+    odd = _left(t, rf"[\p{{L}}\p{{N}}_\s{MORE_SPACE}{LETTERS}{PASSAGE_MARKS}]") / n
+    few_dots = (dots / n <= 0.08) & ~((F.length(t) > 1200) & (dots > 80))
+    return (F.length(t) >= 20) & ~F.regexp_like(t, F.lit(PASSAGE_RUNS)) & few_dots & (_left(t, f"[^{LETTERS}]") >= 12) & (odd < 0.08)
 
 
 def segments(text: Column, least: int = 8) -> Column:

@@ -1,7 +1,8 @@
 """Graph operators on edge tables: reach in a few hops, version chains, cycles, degrees, neighbourhoods.
 
 Edges are rows (src, dst). Undirected work goes over both directions. Hops are joins with a bound number of rounds; a
-chain of unbound length doubles its reach each round until nothing is new, so a path of n edges takes log2(n) joins.
+chain of unbound length doubles its reach each round until nothing is new, so a path of n edges takes log2(n) joins. Rounds are cut, so
+plans don't grow with them.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ def undirected(edges: DataFrame) -> DataFrame:
 def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """node, distance: every node at most `hops` undirected steps from a seed (column node), with the fewest steps.
 
-    The frontier is grouped before each join, so a node is carried once however many paths lead to it.
+    Only the nodes that a round found first are carried into the next; they and the edges are cut each round, so a round plans from files.
     """
-    both = undirected(edges)
-    seen = seeds.select("node", F.lit(0).alias("distance")).distinct()
-    for _ in range(hops):
-        step = seen.join(both, seen["node"] == both["src"]).select(F.col("dst").alias("node"), (F.col("distance") + 1).alias("distance"))
-        seen = seen.union(step).groupBy("node").agg(F.min("distance").alias("distance"))
+    both = cut(undirected(edges))
+    frontier = cut(seeds.select("node").distinct())
+    seen = frontier.withColumn("distance", F.lit(0))
+    for n in range(1, hops + 1):
+        step = frontier.join(both, frontier["node"] == both["src"]).select(F.col("dst").alias("node")).distinct()
+        frontier = step.join(seen.select("node"), "node", "left_anti")
+        frontier = cut(frontier) if n < hops else frontier
+        seen = seen.union(frontier.withColumn("distance", F.lit(n)))
     return seen
 
 
@@ -43,26 +47,30 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def chains(edges: DataFrame, most_hops: int = 10) -> DataFrame:
-    """Paths of old -> new edges from nodes without a predecessor to nodes without a successor: root, terminal, path, hops.
+    """Paths of old -> new edges from nodes without a predecessor to nodes without a successor: root, terminal, path, hops, ended.
 
-    A node may have several successors. Paths that visit a node twice, or are longer than most_hops, are not returned.
+    A node may have several successors. Paths that visit a node twice are not returned; those that go on after most_hops end
+    there, with ended false. Each round is cut, so its plan reads the rounds before from files.
     """
-    step = edges.select("src", "dst").distinct()
+    step = cut(edges.select("src", "dst").distinct())
+    more = step.select(F.col("src").alias("at")).distinct()
     roots = step.join(step.select(F.col("dst").alias("src")), "src", "left_anti").select("src").distinct()
-    paths = roots.select(F.col("src").alias("root"), F.col("src").alias("at"), F.array("src").alias("path"))
-    ended = []
-    sources = step.select(F.col("src").alias("at")).distinct()
-    for _ in range(most_hops):
+    paths = cut(roots.select(F.col("src").alias("root"), F.col("src").alias("at"), F.array("src").alias("path")))
+    out = None
+    for n in range(1, most_hops + 1):
         paths = paths.join(step, paths["at"] == step["src"]).where(~F.array_contains("path", F.col("dst"))).select("root", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"))
-        ended.append(paths.join(sources, "at", "left_anti"))
-    out = ended[0]
-    for e in ended[1:]:
-        out = out.unionByName(e)
-    return out.select("root", F.col("at").alias("terminal"), "path", (F.size("path") - 1).alias("hops"))
+        marked = cut(paths.join(more.withColumn("goes_on", F.lit(True)), "at", "left"))
+        over = marked.where("goes_on IS NULL") if n < most_hops else marked
+        out = over if out is None else out.unionByName(over)
+        paths = marked.where("goes_on").drop("goes_on")
+    return out.select("root", F.col("at").alias("terminal"), "path", (F.size("path") - 1).alias("hops"), F.col("goes_on").isNull().alias("ended"))
 
 
 def reachable(edges: DataFrame) -> DataFrame:
-    """src, dst: pairs joined by a directed path, however long. Each round doubles the reach; the first without a new pair is the last."""
+    """src, dst: pairs joined by a directed path, however long: as many rows as there are such pairs.
+
+    Each round doubles the reach; the first without a new pair is the last.
+    """
     pairs = cut(edges.select("src", "dst").distinct())
     n = pairs.count()
     while True:
@@ -73,15 +81,38 @@ def reachable(edges: DataFrame) -> DataFrame:
             return pairs
 
 
+def trimmed(edges: DataFrame, peels: int = 2) -> DataFrame:
+    """The edges that lie on cycles or between them: nodes without an edge in or out are peeled off until none is left.
+
+    `peels` layers at both ends go between two cuts.
+    """
+    core = cut(edges.select("src", "dst").distinct())
+    n = core.count()
+    while n:
+        inner = core
+        for _ in range(peels):
+            inner = inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(inner.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+        core = cut(inner)
+        before, n = n, core.count()
+        if n == before:
+            break
+    return core
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes from which a directed path leads back."""
-    return reachable(edges).where("src = dst").select(F.col("src").alias("node"))
+    """Nodes from which a directed path leads back: paths are only followed in what trimmed() leaves, nothing where there is no cycle."""
+    return reachable(trimmed(edges)).where("src = dst").select(F.col("src").alias("node"))
 
 
 def would_close_cycle(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """New edges (src, dst) whose end already leads to their start, or that are loops."""
-    back = reachable(edges).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    return new.where("src = dst").union(new.join(back, ["src", "dst"], "left_semi")).distinct()
+    """New edges (src, dst) whose end already leads to their start, or that are loops.
+
+    With the new edges in place such a path lies on a cycle, so paths are only followed in what trimmed() leaves of both.
+    """
+    asked = cut(new.select("src", "dst").distinct())
+    around = trimmed(edges.select("src", "dst").union(asked))
+    back = reachable(around.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_semi"))
+    return asked.where("src = dst").union(asked.join(back.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")).distinct()
 
 
 def branching(edges: DataFrame) -> DataFrame:
@@ -126,3 +157,35 @@ def flatten_documents(documents: DataFrame) -> DataFrame:
     clauses = k.select("doc", F.lit("khoan").alias("level"), F.col("a.no").alias("article"), F.col("k.no").alias("clause"), none.alias("point"), F.col("k.text").alias("text"))
     points = p.select("doc", F.lit("diem").alias("level"), F.col("a.no").alias("article"), F.col("k.no").alias("clause"), F.col("p.no").alias("point"), F.col("p.text").alias("text"))
     return articles.unionByName(clauses).unionByName(points)
+
+
+def containment(documents: DataFrame, provisions: DataFrame, most: int = 50) -> DataFrame:
+    """Per document its tree as structs for display: nodes (id, kind, label) and edges (source, target, kind), of `most` clauses at most.
+
+    documents: doc, title. provisions: doc, article, clause (null for an article's own row). Clauses count in natural order.
+    """
+    from juristream.functions.text import natural_key
+
+    order = [natural_key(F.col("article")), natural_key(F.col("clause"))]
+    rows = provisions.where("clause IS NOT NULL").select("doc", "article", "clause").distinct()
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy(*order))).where(F.col("n") <= most)
+    art = F.concat(F.col("doc"), F.lit("::D"), F.col("article"))
+    one = F.concat(art, F.lit(".K"), F.col("clause"))
+    node = lambda i, kind, label: F.struct(i.alias("id"), F.lit(kind).alias("kind"), label.alias("label"))
+    edge = lambda a, b, kind: F.struct(a.alias("source"), b.alias("target"), F.lit(kind).alias("kind"))
+    parts = rows.groupBy("doc").agg(
+        F.collect_set(node(art, "dieu", F.concat(F.lit("Điều "), F.col("article")))).alias("articles"),
+        F.collect_list(node(one, "khoan", F.concat(F.lit("Khoản "), F.col("clause")))).alias("clauses"),
+        F.collect_set(edge(F.col("doc"), art, "CO_DIEU")).alias("into_articles"),
+        F.collect_list(edge(art, one, "CO_KHOAN")).alias("into_clauses"),
+    )
+    whole = documents.join(parts, "doc", "left")
+    empty = lambda c: F.coalesce(F.col(c), F.array())
+    top = F.array(node(F.col("doc"), "van_ban", F.coalesce("title", "doc")))
+    return whole.select("doc", F.concat(top, F.array_sort(empty("articles")), F.array_sort(empty("clauses"))).alias("nodes"), F.concat(F.array_sort(empty("into_articles")), F.array_sort(empty("into_clauses"))).alias("edges"))
+
+
+def with_labels(nodes: DataFrame, labels: list[str], status: str | None = None) -> DataFrame:
+    """Nodes (labels: array, status) that carry all these labels and, if asked for, that status."""
+    wanted = F.size(F.array_intersect("labels", F.array(*map(F.lit, labels)))) == len(set(labels))
+    return nodes.where(wanted if status is None else wanted & (F.col("status") == status))

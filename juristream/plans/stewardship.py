@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from juristream.functions import dialogue
 from juristream.functions import text as T
 from juristream.operators import claims, evaluation, graph, reports, snapshots
+from juristream.operators.temporal import transitions
 from juristream.plans.common import Collected, table
 from juristream.plans.temporal import _V, NAMES, versions
 
@@ -165,17 +166,14 @@ def normalized_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @found.add(_V + """
-, e AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY effective_from) AS dst, o_custkey, version_no FROM v WHERE version_no <= 3),
-n AS (SELECT o_custkey, min(src) FILTER (version_no = 1) AS first, min(src) FILTER (version_no = 3) AS third, count(*) AS n FROM e GROUP BY 1)
-SELECT unnest([src, dst]) AS node FROM (SELECT e.src, e.dst FROM e JOIN n USING (o_custkey) WHERE n.n = 3 AND o_custkey % 5 = 0 AND e.version_no = 1 UNION ALL SELECT n.third, n.third FROM n WHERE n.n = 3 AND o_custkey % 5 = 0) q GROUP BY 1
+, n AS (SELECT o_custkey, count(*) AS n FROM v GROUP BY 1)
+SELECT o_orderkey AS node FROM v JOIN n USING (o_custkey) WHERE o_custkey % 5 = 0 AND n >= 3 AND version_no >= 1 AND version_no <= n
 """)
 def version_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions on a cycle, after every fifth customer's third version was linked back to the first."""
-    v = versions(spark, sf_dir).where("version_no <= 3")
-    from juristream.operators.temporal import transitions
-
+    """Versions on a cycle, after every fifth customer's last version (of three or more) was linked back to the first."""
+    v = versions(spark, sf_dir)
     edges = transitions(v, NAMES).select(F.col("old_id").alias("src"), F.col("new_id").alias("dst"))
-    ends = v.where("o_custkey % 5 = 0").groupBy("o_custkey").agg(F.max(F.when(F.col("version_no") == 3, F.col("o_orderkey"))).alias("src"), F.max(F.when(F.col("version_no") == 1, F.col("o_orderkey"))).alias("dst")).where("src IS NOT NULL")
+    ends = v.where("o_custkey % 5 = 0").groupBy("o_custkey").agg(F.max_by("o_orderkey", "version_no").alias("src"), F.min_by("o_orderkey", "version_no").alias("dst"), F.count("*").alias("n")).where("n >= 3")
     return graph.on_cycles(edges.union(ends.select("src", "dst")))
 
 

@@ -21,13 +21,19 @@ def doc_checksum_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("checksum").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@found.add(r"""
-WITH t AS (SELECT doc_id, text, CAST(greatest(length(text), 1) AS DOUBLE) AS n FROM documents),
-q AS (
-  SELECT doc_id, CASE WHEN length(trim(text)) = 0 THEN 0.0 ELSE greatest(0.0, least(1.0,
-    length(regexp_replace(text, '[^\p{L}]', '', 'g')) / n - 2 * (length(regexp_replace(text, '[^\x{FFFD}\x{25A1}\x{25A0}\x{25CF}\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) / n)
-    - 0.05 * length(regexp_replace(text, '[^\x{FFFD}]', '', 'g')) - CASE WHEN regexp_matches(text, '\.{5,}') THEN 0.15 ELSE 0.0 END
-    - CASE WHEN length(regexp_replace(text, '[^.]', '', 'g')) / n > 0.12 THEN 0.2 ELSE 0.0 END)) END AS quality FROM t
+_SPACE = r"\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_LETTER = r"A-Za-z\x{C0}-\x{1EF9}"
+_MARK = r".,;:!?()/%+\-\x{2013}\x{2014}\x{22}\x{27}\x{201C}\x{201D}\x{2018}\x{2019}\[\]{}|\\@#&*=<>\x{B0}\x{2030}\x{2026}"
+
+
+@found.add(rf"""
+WITH t AS (SELECT doc_id, regexp_replace(text, '\A[{_SPACE}]+|[{_SPACE}]+\z', '', 'g') AS t FROM documents),
+c AS (
+  SELECT doc_id, t, CAST(greatest(length(t), 1) AS DOUBLE) AS n, len(regexp_extract_all(t, '[{_LETTER}]')) AS letters,
+         len(regexp_extract_all(t, '[^\p{{L}}\p{{N}}_{_SPACE}{_LETTER}{_MARK}]')) AS odd, len(regexp_extract_all(t, '\x{{FFFD}}')) AS lost, len(regexp_extract_all(t, '[.]')) AS dots FROM t
+), q AS (
+  SELECT doc_id, CASE WHEN length(t) < 20 THEN 0.0 ELSE greatest(0.0, least(1.0, letters / n - 2 * (odd / n) - 0.05 * lost
+    - CASE WHEN regexp_matches(t, '[.]{{8,}}|_{{8,}}|-{{8,}}') THEN 0.15 ELSE 0.0 END - CASE WHEN dots / n > 0.08 THEN 0.2 ELSE 0.0 END)) END AS quality FROM c
 )
 SELECT doc_id, round(CAST(quality AS DOUBLE), 6) AS quality FROM q
 """)

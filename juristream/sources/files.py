@@ -21,16 +21,16 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def extract_text(files: DataFrame, readers: dict[str, object] | None = None) -> DataFrame:
-    """path, checksum, kind, text of binary files by their suffix: plain text, HTML and RTF here, other kinds by `readers` (suffix -> pandas UDF of the
+    """path, checksum, kind, text of binary files by their suffix: plain text, HTML, RTF and DOCX here, other kinds by `readers` (suffix -> pandas UDF of the
     content). A kind without a reader has a null text."""
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     known = files.select("path", "checksum", "content", kind.alias("kind"))
     decoded = arrow.decode_bytes(F.when(F.col("kind").isin(*TEXT), F.col("content")))
     rows = known.withColumn("_t", decoded)
     text = F.when(F.col("kind").isin("html", "htm"), T.strip_html(F.col("_t"))).when(F.col("kind") == "rtf", rtf_text(F.col("_t"))).otherwise(F.col("_t"))
-    for suffix, reader in (readers or {}).items():
+    for suffix, reader in ({"docx": arrow.docx_text} | (readers or {})).items():
         text = F.when(F.col("kind") == suffix, reader(F.when(F.col("kind") == suffix, F.col("content")))).otherwise(text)
-    return rows.select("path", "checksum", "kind", T.clean_text(text).alias("text") if not readers else F.when(text.isNotNull(), T.clean_text(text)).alias("text"))
+    return rows.select("path", "checksum", "kind", F.when(text.isNotNull(), T.clean_text(text)).alias("text"))
 
 
 def rtf_text(rtf: Column) -> Column:

@@ -1,6 +1,8 @@
 import hashlib
 import hmac
+import io
 import uuid
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +68,42 @@ def test_arrow(spark):
     assert one(spark, arrow.decode_bytes(F.lit(bytearray("Điều".encode("utf-16"))))) == "Điều"
 
 
+def test_quality(spark):
+    clean = "Điều 1. Phạm vi điều chỉnh. Nghị định này quy định về lệ phí hộ tịch."
+    garbage = "N2lw5 w5Sie2 %^ S S Mã hàng 615.90.00 ÿÄ ÄÃỐ . ~ Í ÕỔ Ổ MM-¬GÌ"
+    cases = [clean, garbage, "a" * 19, "a" * 20, "a" * 92 + "." * 8, "a" * 85 + "_" * 7 + "-" * 8, "a" * 90 + " . " * 10, "\ufffd" * 2 + "a" * 30, "\u00a0" + "đ" * 21 + " ", None, "x^" * 15]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string").select("i", T.text_quality(F.col("t")).alias("q"), T.readable(F.col("t")).alias("r")).collect()
+    got = {r["i"]: r["q"] for r in rows}
+    assert got[0] > got[1]
+    for i, c in enumerate(cases):
+        assert got[i] == pytest.approx(arrow.quality(c or ""), abs=1e-12), i
+    assert (got[2], got[3], got[4]) == (0.0, 1.0, pytest.approx(0.92 - 0.15))
+    assert [r["r"] for r in sorted(rows)][:5] == [True, True, False, True, False]
+
+
+def test_decoding(spark, sf_dir):
+    assert arrow.decoded("Điều 40. Nội dung miễn lệ phí hộ tịch.".encode()) == "Điều 40. Nội dung miễn lệ phí hộ tịch."
+    assert arrow.decoded("Nghị định số 168/2024/NĐ-CP".encode()) == "Nghị định số 168/2024/NĐ-CP"
+    for encoding in ("utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be"):
+        assert arrow.decoded("<p>x</p> Điều".encode(encoding)) == "<p>x</p> Điều"
+    assert arrow.decoded("Café déjà vu à la carte".encode("latin-1")) == "Café déjà vu à la carte"
+    assert (arrow.decoded(b""), arrow.decoded(b"\x00")) == ("", "\x00")
+    assert arrow.mended("Miễn".encode().decode("latin-1")) == "Miễn"
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").union(spark.read.parquet(f"{sf_dir}/pages.parquet").select("html")).where("text IS NOT NULL")
+    assert texts.where(arrow.decode_bytes(F.encode("text", "UTF-8")) != F.col("text")).count() == 0
+
+
+def test_docx(spark):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    table = f"<w:tbl><w:tr><w:tc>{p('a')}</w:tc><w:tc>{p('b')}</w:tc></w:tr></w:tbl>"
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as package:
+        package.writestr("word/document.xml", f"<w:document {w}><w:body>{p('Điều 1')}{table}{p('hai')}</w:body></w:document>")
+    rows = spark.createDataFrame([("x/y.docx", bytearray(raw.getvalue())), ("bad.docx", bytearray(b"PK")), ("z.pdf", bytearray(b"%PDF"))], "path string, content binary").withColumn("checksum", F.lit("c"))
+    assert {r["path"]: r["text"] for r in files.extract_text(rows).collect()} == {"x/y.docx": "Điều 1\na | b\nhai", "bad.docx": None, "z.pdf": None}
+
+
 def test_parser(spark):
     text = "Mở đầu\nĐiều 1. Phạm vi\n1. Khoản một\ntiếp theo\na) điểm a\nĐiều 2. Hiệu lực"
     rows = legal.parse_documents(spark.createDataFrame([("d", text), ("long", "x " * 300), ("none", None)], "doc string, text string")).collect()
