@@ -178,8 +178,23 @@ class ByteBPE:
             yield batch.slice(lo, hi - lo)
             lo = hi
 
+    @staticmethod
+    def slices(text: str) -> Iterator[str]:
+        """A long text in parts of about TOGETHER characters, cut where a pre-token always begins (a text without such a place is one part)."""
+        at = 0
+        while at < len(text):
+            cut = CUT.search(text, at + TOGETHER) if at + TOGETHER < len(text) else None
+            yield text[at : cut.start() if cut else len(text)]
+            at = cut.start() if cut else len(text)
+
     def encode_some(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as unsigned 32-bit integers."""
+        if len(texts) == 1 and len(texts[0]) > TOGETHER:
+            yield b"".join(x for part in self.slices(texts[0]) for x in self._encode_together([part]))
+        else:
+            yield from self._encode_together(texts)
+
+    def _encode_together(self, texts: list[str]) -> Iterator[bytes]:
         cut = [CUT.split(text) for text in texts]
         known = self.chunks.recall(set(chain.from_iterable(cut)))
         split = {x: self.split(x) for x, y in known.items() if y is None}

@@ -40,12 +40,13 @@ def mix(
     Returns one row per input row: `doc` (a struct of the columns in `keep`, all by default, so no name can clash),
     size, source_size, target, taken.
 
-    A null or blank text has size 0 and takes 0. Null sources are one source. Equal ids are ordered by size and
-    text, so reruns agree; equal rows are interchangeable. A table without words has targets of 0.
+    A null or blank text has size 0 and takes 0; texts of any length are counted whole. Null sources are one source. A null id is
+    replaced by the text's hash. Equal ids are ordered by size and text, so reruns agree; equal rows are interchangeable. A table
+    without words has targets of 0, an empty table gives an empty one.
     """
     keep = documents.columns if keep is None else keep
     text = F.coalesce(documents[text_col].cast("string"), F.lit(""))
-    ident = F.coalesce(documents[id_col].cast("string"), F.lit(""))
+    ident = F.coalesce(documents[id_col].cast("string"), F.concat(F.lit("text:"), F.md5(text)))
     rows = documents.select(
         F.struct(*[documents[c] for c in keep]).alias("doc"),
         F.coalesce(F.concat(F.lit("="), documents[source_col].cast("string")), F.lit("")).alias("source"),
@@ -105,7 +106,7 @@ def taken_documents(mixed: DataFrame) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))) AS key
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source

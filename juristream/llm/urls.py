@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from juristream.llm.common import finished, scope
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules are tested one by one on each row; longer lists belong in a table that is joined by host suffix.
 MOST_RULES = 1000
@@ -107,8 +109,9 @@ def judge(
 
     Returns the id column, host, path, rule, verdict and p_block (the trees' probability).
 
-    Null or scheme-less URLs have an empty host and path and are judged by the trees like others. If the rules decide no URL, or all
-    the same way, no tree is fitted and the rest get that one verdict, or allow. Null and repeated ids are passed on.
+    Null or scheme-less URLs have an empty host and path and are judged by the trees like others; URLs of any length are looked at whole. If
+    the rules decide no URL, or all the same way, no tree is fitted and the rest get that one verdict, or allow. Null and repeated ids and equal
+    rows are passed on, further columns are ignored whatever their names, an empty table gives an empty one.
     """
     host, path = parts(pages[url_col])
     rows = pages.select(pages[id_col].alias("id"), F.coalesce(pages[url_col], F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
@@ -125,7 +128,9 @@ def judge(
         return rows.select(*out, F.coalesce("hit.verdict", F.lit(only)).alias("verdict"), F.lit(float(1.0 in seen)).alias("p_block"))
 
     prior = seen[1.0]["rows"] / sum(r["rows"] for r in seen.values())
-    sample = _lexical(sampled(distinct, {label: r["n"] for label, r in seen.items()}, sample_rows))
+    # Written once: each tree reads the sample again and again, not the table that it is drawn from.
+    with scope():
+        sample = finished(_lexical(sampled(distinct, {label: r["n"] for label, r in seen.items()}, sample_rows)), "url-sample")
     rate = ((F.sum(F.col("label") * F.col("weight")) + 10 * prior) / (F.sum("weight") + 10)).cast("double")
     tops = F.broadcast(sample.groupBy("top").agg(rate.alias("top_rate")))
     endings = F.broadcast(sample.groupBy("ending").agg(rate.alias("ending_rate")))
