@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import pandas as pd
@@ -74,6 +75,42 @@ def first_by_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+class Founders:
+    """The first claims of clusters, by their words.
+
+    A similarity of CLUSTER needs a word F1 of at least (CLUSTER - 0.3) / 0.7, so a claim of n words shares at least `need` of them
+    with any founder it may join: one of its n - need + 1 rarest, under which alone founders are looked up. What the words and lengths
+    of a pair rule out is not compared by character.
+    """
+
+    def __init__(self):
+        self.texts: list[str] = []
+        self.words: list[set[str]] = []
+        self.by_word: dict[str, list[int]] = {}
+
+    def place(self, text: str) -> tuple[str, float]:
+        """The founder that a claim joins, and how similar it is; itself and 1 if it founds a cluster."""
+        own = set(text.split())
+        f1 = (CLUSTER - 0.3) / 0.7
+        need = math.ceil(f1 * len(own) / (2 - f1) - 1e-9)
+        rare = sorted(own, key=lambda w: (len(self.by_word.get(w, ())), w))[: len(own) - need + 1]
+        best, value = None, 0.0
+        for i in sorted({i for w in rare for i in self.by_word.get(w, ())}):
+            other = self.words[i]
+            most = 0.7 * 2 * len(own & other) / (len(own) + len(other)) + 0.3 * 2 * min(len(text), len(self.texts[i])) / (len(text) + len(self.texts[i]))
+            if most < max(CLUSTER, value) - 1e-6:
+                continue
+            if (s := arrow.similarity(text, self.texts[i])) >= CLUSTER and s > value:
+                best, value = i, s
+        if best is not None:
+            return self.texts[best], value
+        for w in own:
+            self.by_word.setdefault(w, []).append(len(self.texts))
+        self.texts.append(text)
+        self.words.append(own)
+        return text, 1.0
+
+
 def cluster_claims(claims: DataFrame, *, prefix: str = "misconception") -> DataFrame:
     """Claims (ykien_id, topic, legal_anchor_id, claim_text, created_at, nli_label, nli_score) that contradict with confidence, in clusters.
 
@@ -90,19 +127,10 @@ def cluster_claims(claims: DataFrame, *, prefix: str = "misconception") -> DataF
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(_at=[(x["created_at"], x["ykien_id"]) for x in pdf["first"]]).sort_values("_at")
-        founders: list[str] = []
-        to, values = [], []
-        for text in pdf["normalized"]:
-            best, value = None, 0.0
-            for f in founders:
-                if (s := arrow.similarity(text, f)) >= CLUSTER and s > value:
-                    best, value = f, s
-            if best is None:
-                founders.append(text)
-            to.append(best or text)
-            values.append(value if best else 1.0)
-        ids = [str(uuid.uuid5(uuid.NAMESPACE_URL, f"{prefix}:{t}:{a}:{n}")) for t, a, n in zip(pdf["topic"], pdf["legal_anchor_id"], to, strict=True)]
-        return pd.DataFrame({"topic": pdf["topic"], "legal_anchor_id": pdf["legal_anchor_id"], "signature": pdf["signature"], "normalized": pdf["normalized"], "misconception_id": ids, "similarity": values})
+        founders = Founders()
+        found = [founders.place(text) for text in pdf["normalized"]]
+        ids = [str(uuid.uuid5(uuid.NAMESPACE_URL, f"{prefix}:{t}:{a}:{n}")) for t, a, (n, _) in zip(pdf["topic"], pdf["legal_anchor_id"], found, strict=True)]
+        return pd.DataFrame({"topic": pdf["topic"], "legal_anchor_id": pdf["legal_anchor_id"], "signature": pdf["signature"], "normalized": pdf["normalized"], "misconception_id": ids, "similarity": [v for _, v in found]})
 
     assigned = distinct.groupBy("topic", "legal_anchor_id", "signature").applyInPandas(assign, "topic string, legal_anchor_id string, signature string, normalized string, misconception_id string, similarity double")
     rows = named.join(assigned, keys).join(distinct, keys)

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as checkpointed in the folder that spark.checkpoint.dir names (a temporary one only where it is unset, in tests): it survives
-    the loss of executors, and what follows plans from a file."""
+    """df as checkpointed in the folder that spark.checkpoint.dir names: it survives the loss of executors, and what follows plans from a
+    file. Only where that is unset on a single machine (tests) a temporary folder takes its place; a cluster's executors wouldn't share it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="juristream-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+            where = "file://" + tempfile.mkdtemp(prefix="juristream-")
+        sc.setCheckpointDir(where)
     return df.checkpoint()

@@ -1,7 +1,7 @@
 """Ranked retrieval: exact, lexical, vector and neighbourhood rankings, fused by reciprocal rank.
 
 A ranking is a table (query_id, key, position, ...). Queries are tables too, so a batch of queries is one job: lexical
-scoring joins the queries' terms with postings on the term, vectors are scored against a stated query set, in blocks if it is large.
+scoring joins the queries' terms with postings on the term, vectors are scored against a stated query set in blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from juristream.functions import dialogue as D
 from juristream.functions import text as T
+from juristream.operators.lineage import cut
 
 # The order of sources, the constant of the fusion, and the scores of exact hits.
 SOURCES = ("exact", "lexical", "vector", "graph")
@@ -49,14 +51,9 @@ def exact(provisions: DataFrame, identifiers: DataFrame) -> DataFrame:
     return found.groupBy("query_id", "provision_id", "lineage_id").agg(F.max("score").alias("score"))
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, length: words are counted per document inside one row, so only distinct words are shuffled."""
-    words = docs.select(F.col(key).alias("key"), T.tokens(F.col(text)).alias("words"))
-    return (
-        words.select("key", F.size("words").alias("length"), F.explode("words").alias("term"))
-        .groupBy("key", "length", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+def postings(sized: DataFrame) -> DataFrame:
+    """key, length, term, tf of documents (key, length, words): words are counted inside one document, so only distinct ones are shuffled."""
+    return sized.select("key", "length", F.explode("words").alias("term")).groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, *, key: str, text: str, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -66,11 +63,24 @@ def bm25(docs: DataFrame, queries: DataFrame, *, key: str, text: str, limit: int
     words of idf * tf (k1 + 1) / (tf + k1 (1 - b + b length / mean length)), idf = ln(1 + (n - df + 0.5) / (df + 0.5)).
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col(text)))).alias("mean")).first()
+    # Every text is cut into words once; lengths and the queries' own words of it are written, and all else comes from there.
+    vocabulary = asked.select("term").distinct()
+    words = T.tokens(F.col(text))
+    small = bounded(vocabulary)
+    if small:
+        terms = [r["term"] for r in vocabulary.collect()]  # 10,000 at most
+        kept = F.filter(F.col("_w"), lambda w: w.isin(terms)) if terms else F.array().cast("array<string>")
+    else:
+        kept = F.col("_w")
+    sized = cut(docs.select(F.col(key).alias("key"), words.alias("_w")).select("key", F.size("_w").alias("length"), kept.alias("words")))
+    size = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     n, mean = F.lit(float(size["n"])), F.lit(float(size["mean"] or 1.0))
-    few = postings(docs, key, text).join(F.broadcast(asked.select("term").distinct()) if bounded(queries) else asked.select("term").distinct(), "term", "left_semi")
+    few = postings(sized)
+    if not small:
+        few = few.join(vocabulary, "term", "left_semi")
     df = few.groupBy("term").agg(F.count("*").alias("df"))
-    scored = few.join(df, "term").join(asked, "term")
+    near = F.broadcast if small else (lambda d: d)  # a term's postings are then never gathered, however many they are
+    scored = few.join(near(df), "term").join(F.broadcast(asked) if small and bounded(asked, 200_000) else asked, "term")
     tf = F.col("tf")
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / mean))
@@ -97,17 +107,11 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_top_k(points: DataFrame, queries: DataFrame, *, key: str, vector: str, limit: int, query_rows: int = 4096, point_rows: int = 8192) -> DataFrame:
     """query_id, key, score, position: each query's (query_id, vector) nearest points by cosine, among all of them.
 
-    A query set of few rows is broadcast; then each task ranks its own points first. A larger one and the points are
-    dealt by hash into blocks, all pairs of which are groups of bounded size.
+    Queries and points are dealt by hash into blocks, all pairs of which are groups of bounded size; a group gives `limit` rows a query at most.
     """
     asked = queries.select("query_id", F.col("vector").alias("_q"))
     every = points.select(F.col(key).alias("key"), F.col(vector).alias("_v"))
-    if bounded(queries):
-        every = every.crossJoin(F.broadcast(asked))
-        scored = every.select("query_id", "key", cosine(F.col("_v"), F.col("_q")).alias("score")).where("score IS NOT NULL")
-    else:
-        scored = _scored_in_blocks(every, asked, limit, query_rows, point_rows)
-    return ranked(scored, ["query_id"], [F.desc("score"), F.col("key")], limit)
+    return ranked(_scored_in_blocks(every, asked, limit, query_rows, point_rows), ["query_id"], [F.desc("score"), F.col("key")], limit)
 
 
 def _scored_in_blocks(points: DataFrame, queries: DataFrame, limit: int, query_rows: int, point_rows: int) -> DataFrame:
@@ -183,10 +187,13 @@ def centroids(points: DataFrame, label: str, vector: str) -> DataFrame:
 def nearest_topic(points: DataFrame, topics: DataFrame, *, key: str, vector: str, threshold: float = 0.55) -> DataFrame:
     """key, topic, score, status of the nearest topic (label, vector; few rows): classified, needs_review, or unknown without any.
 
-    The topics go to the points, as one array; ties go to the smaller label. No row is multiplied and nothing is shuffled.
+    Up to 10,000 topics go to the points, as one array, and nothing is shuffled; more are searched in blocks. Ties go to the smaller label.
     """
     if not bounded(topics):
-        raise ValueError("more than 10,000 topics: link_entities() or a search index is meant for these")
+        near = vector_top_k(topics, points.select(F.col(key).alias("query_id"), F.col(vector).alias("vector")), key="label", vector="vector", limit=1)
+        best = near.select(F.col("query_id").alias(key), F.col("key").alias("topic"), "score")
+        status = F.when(F.col("score").isNull(), "unknown").when(F.col("score") >= threshold, "classified").otherwise("needs_review")
+        return points.select(key).join(best, key, "left").withColumn("status", status)
     every = topics.agg(F.collect_list(F.struct("label", "vector")).alias("_topics"))  # 10,000 at most
     scored = points.select(key, F.col(vector).alias("_v")).join(F.broadcast(every))
     found = F.transform("_topics", lambda t: F.struct(cosine(F.col("_v"), t["vector"]).alias("score"), t["label"].alias("topic")))
@@ -323,3 +330,84 @@ def reconcile_index(leaves: DataFrame, points: DataFrame) -> DataFrame:
     b = points.groupBy("provision_id").agg(F.max("text_checksum").alias("have"))
     action = F.when(F.col("want").isNull(), "delete").when(F.col("have").isNull(), "index").when(F.col("want") == F.col("have"), "keep").otherwise("reindex")
     return a.join(b, "provision_id", "full").select("provision_id", action.alias("action"))
+
+
+# What a passage must reach to count as relevant, and how much a search score adds to it.
+RELEVANT, SCORE_SHARE = 0.34, 0.1
+
+
+def relevant(hits: DataFrame, queries: DataFrame, *, least: float = RELEVANT) -> DataFrame:
+    """Hits (query_id, key, text, score) on their query's (query_id, text) topic, with relevance and value = relevance + SCORE_SHARE * score, by position.
+
+    Queries that name a document, or have no topic words, keep all their hits in the order they had.
+    """
+    free = D.names_document(F.col("_query")) | (F.size(D.required_terms(F.col("_query"))) == 0)
+    both = hits.join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
+    fit = D.topic_relevance(F.col("_query"), F.concat_ws(" ", F.col("key").cast("string"), "text"))
+    scored = both.withColumn("_free", free).withColumn("relevance", F.when(~F.col("_free"), fit))
+    kept = scored.where(F.col("_free") | (F.col("relevance") >= least)).withColumn("value", F.coalesce(F.col("relevance") + SCORE_SHARE * F.coalesce("score", F.lit(0.0)), F.col("score")))
+    w = Window.partitionBy("query_id").orderBy(F.desc("value"), "key")
+    return kept.withColumn("position", F.row_number().over(w)).select("query_id", "key", "text", "score", "relevance", "value", "position")
+
+
+def select_context(hits: DataFrame, queries: DataFrame, *, least: float = RELEVANT, most: int = 3, most_named: int = 6) -> DataFrame:
+    """What an answer is written from: of each query's relevant hits (document, key, text, score) those of the document with the largest sum of
+    values, `most` of them; `most_named` where the query names a document. Small talk gets none."""
+    asked = queries.where(~D.small_talk(F.col("text")))
+    fit = relevant(hits, asked, least=least).join(hits.select("query_id", "key", "document"), ["query_id", "key"])
+    named = asked.select("query_id", D.names_document(F.col("text")).alias("_named"))
+    per = fit.groupBy("query_id", "document").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("_sum"))
+    first = Window.partitionBy("query_id").orderBy(F.desc("_sum"), "document")
+    best = per.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("query_id", "document")
+    kept = fit.drop("position").join(best, ["query_id", "document"]).join(named, "query_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("value"), "key")
+    return kept.withColumn("position", F.row_number().over(w)).where(F.col("position") <= F.when(F.col("_named"), most_named).otherwise(most)).select("query_id", "document", "key", "text", "value", "position")
+
+
+# Scores of keyword hits where vectors gave none, and how many of either are taken.
+KEYWORD_BASE, KEYWORD_STEP, KEYWORD_MOST = 0.75, 0.03, 0.99
+VECTOR_POOL, KEYWORD_POOL = 16, 40
+
+
+def keyword_search(queries: DataFrame, passages: DataFrame, limit: int = KEYWORD_POOL) -> DataFrame:
+    """query_id, key, hits, score of passages (key, text) that hold a keyword of the query and, if it has any, a required term; required ones count twice more.
+
+    Pairs meet at a word of a keyword, so no query is held against every passage.
+    """
+    body = F.lower(F.coalesce("text", F.lit("")))
+    asked = queries.select("query_id", F.transform(D.keyword_queries(F.col("text")), F.lower).alias("_k"), F.transform(D.required_terms(F.col("text")), F.lower).alias("_r"))
+    by_word = asked.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("_k", lambda k: T.tokens(k))))).alias("term"))
+    words = passages.select("key", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    met = words.join(F.broadcast(by_word) if bounded(by_word, 100_000) else by_word, "term").select("query_id", "key").distinct()
+    both = met.join(passages.select("key", body.alias("_b")), "key").join(asked, "query_id")
+    count = lambda terms: F.size(F.filter(terms, lambda t: F.contains(F.col("_b"), t)))
+    hits = both.withColumn("_required", count(F.col("_r"))).withColumn("_found", count(F.col("_k"))).where("_found > 0 AND (size(_r) = 0 OR _required > 0)")
+    scored = hits.select("query_id", "key", (F.col("_found") + 2 * F.col("_required")).alias("hits"))
+    score = F.least(F.lit(KEYWORD_MOST), KEYWORD_BASE + KEYWORD_STEP * F.col("hits"))
+    return ranked(scored.withColumn("score", score), ["query_id"], [F.desc("hits"), F.col("key")], limit).drop("position")
+
+
+def stepwise(queries: DataFrame, provisions: DataFrame, vectors: DataFrame | None = None, *, limit: int = 8) -> DataFrame:
+    """query_id, key, document, text, score, position in steps: what a query names by id or number, alone; else its nearest vectors; else keywords, also where a
+    number that is named isn't known. Unreadable passages go, then other documents than a clearly best one, then what is off the topic.
+
+    queries: query_id, text, vector (if vectors are given). provisions: provision_id, lineage_id, logical_vb_id, text. vectors: provision_id, vector.
+    """
+    ids, numbers = T.legal_identifiers(F.col("text")), T.document_numbers(F.col("text"))
+    named = queries.select("query_id", F.explode(F.concat(ids, F.transform(numbers, T.document_number))).alias("identifier"))
+    direct = exact(provisions, named).select("query_id", F.col("provision_id").alias("key"), "score")
+    rest = queries.join(direct.select("query_id").distinct(), "query_id", "left_anti").where((F.size(ids) == 0) | (F.size(numbers) > 0))
+    body = provisions.select(F.col("provision_id").alias("key"), F.col("logical_vb_id").alias("document"), "text")
+    found = None
+    if vectors is not None:
+        near = vector_top_k(vectors, rest.select("query_id", "vector"), key="provision_id", vector="vector", limit=VECTOR_POOL)
+        found = near.select("query_id", "key", "score").join(body, "key").where(T.readable(F.col("text"))).select("query_id", "key", "score")
+    unmet = rest if found is None else rest.where(F.size(numbers) > 0).unionByName(rest.where(F.size(numbers) == 0).join(found.select("query_id").distinct(), "query_id", "left_anti"))
+    words = keyword_search(unmet.select("query_id", "text"), body).select("query_id", "key", "score")
+    every = words if found is None else found.unionByName(words)
+    once = every.groupBy("query_id", "key").agg(F.max("score").alias("score"))
+    readable = once.join(body, "key").where(T.readable(F.col("text")))
+    fit = relevant(readable.select("query_id", "key", "text", "score"), rest.select("query_id", "text"))
+    later = fit.select("query_id", "key", F.col("value").alias("score"))
+    out = direct.unionByName(later).join(body, "key")
+    return ranked(out, ["query_id"], [F.desc("score"), F.col("key")], limit).select("query_id", "key", "document", "text", "score", "position")

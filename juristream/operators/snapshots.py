@@ -6,6 +6,8 @@ snapshot in a directory of its own and then moves a pointer, so readers see the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,16 +106,21 @@ def preflight(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, root: str, version: str) -> str:
-    """Writes df as root/version and then points root/CURRENT at it, by one rename where the file system has that."""
+    """Writes df as root/version and then points root/CURRENT at it: the pointer is written beside and renamed over the old one, so a
+    reader sees the one or the other, whole."""
     spark = df.sparkSession
     path = f"{root.rstrip('/')}/{version}"
     df.write.mode("errorifexists").parquet(path)
     jvm = spark._jvm
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/CURRENT")
-    fs = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(pointer, True)
+    pointer, beside = (jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}") for name in ("CURRENT", f".CURRENT-{uuid.uuid4().hex}"))
+    conf = spark._jsc.hadoopConfiguration()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.getFileSystem(conf).makeQualified(pointer).toUri(), conf)
+    out = beside.getFileSystem(conf).create(beside, False)
     out.writeBytes(version)
     out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(beside, pointer, over)
     return path
 
 

@@ -34,13 +34,13 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @found.add("""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS key, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score FROM v q, v c WHERE q.vec_id < 20)
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS key, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0)
 SELECT query_id, key, round(score, 6) AS score, CAST(r AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM s) WHERE r <= 5
 """)
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty vectors as the stated query set, against all."""
+    """Every vector whose id is divisible by 20 as the stated query set, against all."""
     points = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = points.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = points.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return retrieval.vector_top_k(points, queries, key="vec_id", vector="embedding", limit=5).withColumn("score", F.round("score", 6))
 
 
@@ -86,25 +86,43 @@ def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", retrieval.keyword_hits(F.col("text"), ("the", "tion", "und"), ("der",)).alias("hits"))
 
 
-@found.add(rf"""
-WITH q AS (SELECT list_distinct(list_filter(regexp_extract_all(lower(text), '{W}'), lambda x: length(x) >= 2)) AS q FROM benchmark WHERE item_id = 0),
-d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '{W}'), lambda x: length(x) >= 2)) AS w FROM documents)
-SELECT doc_id, round(len(list_intersect(q, w)) / CAST(len(q) AS DOUBLE), 9) AS overlap FROM d, q
+_BM25 = rf"""
+WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '{W}'))) AS term FROM benchmark),
+d AS (SELECT doc_id AS key, regexp_extract_all(lower(text), '{W}') AS w FROM documents),
+s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+p AS (SELECT key, len(w) AS length, unnest(w) AS term FROM d),
+tf AS (SELECT key, length, term, count(*) AS tf FROM p GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+x AS (SELECT q.query_id, tf.key, round(sum(ln(1 + (s.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) * tf.tf * (1.2::DOUBLE + 1) / (tf.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * tf.length / s.mean))), 9) AS score
+      FROM q JOIN tf ON q.term = tf.term JOIN df ON df.term = tf.term CROSS JOIN s GROUP BY 1, 2)
+"""
+
+
+@found.add(_BM25 + rf"""
+, r AS (SELECT query_id, key FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM x) WHERE r <= 10),
+a AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '{W}'), lambda x: length(x) >= 2)) AS q FROM benchmark),
+b AS (SELECT doc_id AS key, list_distinct(list_filter(regexp_extract_all(lower(text), '{W}'), lambda x: length(x) >= 2)) AS w FROM documents)
+SELECT query_id, key, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, w)) / CAST(len(q) AS DOUBLE) END, 9) AS overlap FROM r JOIN a USING (query_id) JOIN b USING (key)
 """)
 def token_overlap_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    query = table(spark, sf_dir, "benchmark").where("item_id = 0").select("text").first()["text"]
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(retrieval.overlap(F.lit(query), F.col("text")), 9).alias("overlap"))
+    """Every benchmark item as a query over the ten documents that lexical search ranks first for it."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = retrieval.bm25(docs, queries, key="doc_id", text="text", limit=10).select("query_id", "key")
+    both = hits.join(docs.select(F.col("doc_id").alias("key"), F.col("text").alias("passage")), "key").join(queries, "query_id")
+    return both.select("query_id", "key", F.round(retrieval.overlap(F.col("text"), F.col("passage")), 9).alias("overlap"))
 
 
 @found.add(rf"""
-WITH a AS (SELECT conv_id * 100 + turn AS left_id, list_distinct(regexp_extract_all(lower(text), '{W}')) AS w FROM conversations WHERE role = 'system'),
+WITH a AS (SELECT conv_id * 100 + turn AS left_id, list_distinct(regexp_extract_all(lower(text), '{W}')) AS w FROM conversations),
 b AS (SELECT item_id AS right_id, list_distinct(regexp_extract_all(lower(text), '{W}')) AS w FROM benchmark),
 s AS (SELECT left_id, right_id, len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) AS score FROM a, b),
 r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS r FROM s WHERE score > 0)
 SELECT left_id, right_id, round(score, 9) AS score, CAST(r AS INTEGER) AS position FROM r WHERE r <= 3
 """)
 def jaccard_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "conversations").where("role = 'system'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    """Every turn of a conversation with the benchmark items nearest to it."""
+    left = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
     right = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     return retrieval.jaccard_link(left, right, limit=3).withColumn("score", F.round("score", 9))
 

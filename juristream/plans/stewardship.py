@@ -133,13 +133,17 @@ def migration_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @found.add("""
-SELECT event_id AS id, 'event' AS type, ts AS created_at FROM events WHERE event_type = 'error'
-UNION ALL SELECT o_orderkey, 'order', o_orderdate FROM orders WHERE o_orderstatus = 'P'
+SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_type = 'error' THEN 'legal_job' ELSE 'social_job' END AS type, CAST(ts AS DATE) AS created_at FROM events WHERE event_type IN ('error', 'signup')
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderkey % 3 = 0 THEN 'post' WHEN o_orderkey % 3 = 1 THEN 'provision' ELSE 'document' END, CAST(o_orderdate AS DATE) FROM orders WHERE o_orderstatus = 'P'
 """)
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("event_id").alias("id"), F.lit("event").alias("type"), F.col("ts").alias("created_at"))
-    b = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), F.lit("order").alias("type"), F.col("o_orderdate").alias("created_at"))
-    return a.unionByName(b)
+    """Events as jobs, orders as nodes."""
+    kind = F.col("event_type")
+    jobs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("job_id"), F.when(kind == "error", "legal_ingest").otherwise("social_poll").alias("job_type"), F.to_date("ts").alias("created_at"), kind.isin("error", "signup").alias("needs_review"))
+    third = F.col("o_orderkey") % 3
+    labels = F.when(third == 0, F.array(F.lit("Item"), F.lit("BaiDang"))).when(third == 1, F.array(F.lit("Khoan"))).otherwise(F.array(F.lit("VanBan")))
+    nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), labels.alias("labels"), F.to_date("o_orderdate").alias("created_at"), (F.col("o_orderstatus") == "P").alias("needs_review"))
+    return reports.review_queue(jobs, nodes)
 
 
 @found.add("""

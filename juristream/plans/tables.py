@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from juristream.functions import text as T
-from juristream.operators import evaluation, reports, snapshots
+from juristream.operators import amendment, evaluation, reports, snapshots
 from juristream.plans.common import Collected, table
 
 found = Collected()
@@ -36,16 +36,23 @@ def join_left_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @found.add("""
-WITH l AS (SELECT l_suppkey AS id, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
-s AS (SELECT s_suppkey + 5 AS id, s_name FROM supplier)
-SELECT coalesce(s.id, l.id) AS id, CASE WHEN l.id IS NULL THEN 'without_rows' WHEN s.id IS NULL THEN 'unknown_supplier' WHEN n < 3 THEN 'few' ELSE 'consistent' END AS code
-FROM s FULL JOIN l ON s.id = l.id
+WITH e AS (SELECT l_suppkey AS batch_id, count(*) AS n_edges, 'k' || CAST(l_suppkey % 7 AS VARCHAR) AS key FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+b AS (SELECT s_suppkey + 2 AS batch_id, CASE WHEN s_suppkey % 3 = 0 THEN 'draft' ELSE 'committed' END AS status, 'k' || CAST((s_suppkey + 2) % 7 + CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS commit_key, coalesce(n, 0) AS expected
+      FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 4 > 0 GROUP BY 1) c ON c.l_suppkey = s_suppkey + 2)
+SELECT coalesce(e.batch_id, b.batch_id) AS batch_id,
+       CASE WHEN status IS NULL THEN 'graph_without_batch' WHEN status = 'committed' AND n_edges IS NULL THEN 'committed_without_graph' WHEN status <> 'committed' AND n_edges IS NOT NULL THEN 'graph_before_commit'
+            WHEN n_edges IS NULL THEN 'nothing_to_do' WHEN key IS DISTINCT FROM commit_key THEN 'key_mismatch' WHEN n_edges <> expected THEN 'count_mismatch' ELSE 'consistent' END AS code
+FROM e FULL JOIN b ON e.batch_id = b.batch_id
 """)
 def join_full_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("n"))
-    suppliers = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 5).alias("id"), "s_name")
-    code = F.when(F.col("n").isNull(), "without_rows").when(F.col("s_name").isNull(), "unknown_supplier").when(F.col("n") < 3, "few").otherwise("consistent")
-    return suppliers.join(items, "id", "full").select("id", code.alias("code"))
+    """Suppliers' returned items as evidence of commits, against batches that are shifted, mislabelled and miscounted here and there."""
+    items = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.count("*").alias("n_edges"))
+    key = lambda c: F.concat(F.lit("k"), c.cast("string"))
+    evidence = items.select(F.col("l_suppkey").alias("batch_id"), "n_edges", key(F.col("l_suppkey") % 7).alias("key"))
+    s = F.col("s_suppkey")
+    known = items.where("l_suppkey % 4 > 0").select(F.col("l_suppkey").alias("batch_id"), F.col("n_edges").alias("n"))
+    batches = table(spark, sf_dir, "supplier").select((s + 2).alias("batch_id"), F.when(s % 3 == 0, "draft").otherwise("committed").alias("status"), key((s + 2) % 7 + F.when(s % 5 == 0, 1).otherwise(0)).alias("commit_key"))
+    return amendment.reconcile(evidence, batches.join(known, "batch_id", "left").withColumn("expected", F.coalesce("n", F.lit(0))).drop("n"))
 
 
 @found.add("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2")
@@ -97,9 +104,9 @@ def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.intersect(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("id")))
 
 
-@found.add("SELECT n_nationkey AS id FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@found.add("SELECT p_size AS id FROM part EXCEPT SELECT s_nationkey FROM supplier")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")).subtract(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("id")))
+    return table(spark, sf_dir, "part").select(F.col("p_size").alias("id")).subtract(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("id")))
 
 
 @found.add("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")

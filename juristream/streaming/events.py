@@ -1,8 +1,8 @@
 """Event-time operators that mean the same on a table and on a stream.
 
 tumbling() and sliding() take either; on a stream they carry a watermark of look-back plus cool-down, which is how late data are
-treated. Cool-down and first-seen dedup are one function per group of keys each, run by applyInPandas on a table and by
-applyInPandasWithState on a stream; state times out, so it doesn't grow with the stream's age.
+treated. Cool-down streams through sorted partitions of a table, and is a function
+of keyed state on a stream; state times out, so it doesn't grow with the stream's age.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -58,22 +59,28 @@ def _fires(times: pd.Series, last: pd.Timestamp | None, pause: pd.Timedelta) ->
 def cooldown(events: DataFrame, keys: list[str], *, hours: int) -> DataFrame:
     """The events that fire: a key is silent for so many hours after it fired. Equal times fire in order of event_id.
 
-    On a table a key's times (two numbers an event) are one array, gathered and folded inside Spark.
+    On a table, sorted partitions stream through: a task holds a key's last firing, whatever the number of its events.
     """
     if events.isStreaming:
         return _cooldown_stream(events, keys, hours)
-    one = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))
-    times = events.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("times"))
-    none = F.lit(None).cast("long")
     pause = hours * 3_600_000_000
-    start = F.struct(none.alias("last"), F.array().cast("array<bigint>").alias("fired"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select(*keys, "event_id", at.alias("_at")).repartition(*keys).sortWithinPartitions(*keys, "_at", "event_id")
+
+    def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            fires = []
+            for *key, t in zip(*(batch.column(i).to_pylist() for i in (*range(len(keys)), len(keys) + 1)), strict=True):
+                if key != now:
+                    now, last = key, None
+                fires.append(t is not None and (last is None or t >= last + pause))
+                if fires[-1]:
+                    last = t
+            yield batch.filter(pa.array(fires, pa.bool_())).select([*keys, "event_id"])
 
-    def step(state, x):
-        fires = state["last"].isNull() | (x["at"] >= state["last"] + pause)
-        return F.struct(F.when(fires, x["at"]).otherwise(state["last"]).alias("last"), F.when(fires, F.array_append(state["fired"], x["id"])).otherwise(state["fired"]).alias("fired"))
-
-    folded = times.select(*keys, F.aggregate("times", start, step)["fired"].alias("fired"))
-    return folded.select(*keys, F.explode("fired").alias("event_id"))
+    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    return rows.mapInArrow(fire, ", ".join(f"`{c}` {types[c]}" for c in (*keys, "event_id")))
 
 
 def _cooldown_stream(events: DataFrame, keys: list[str], hours: int) -> DataFrame:
