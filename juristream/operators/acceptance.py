@@ -47,7 +47,7 @@ def t05(t: Tables, p: Parameters) -> DataFrame:
 
 
 def t06(t: Tables, p: Parameters) -> DataFrame:
-    return graph.chains(t["supersedes"]).where(F.array_contains("path", p["provision_id"])).select("path", "hops")
+    return graph.chains(t["supersedes"]).where(F.array_contains("path", p["provision_id"])).select("path", "hops", "ended")
 
 
 def no_active(t: Tables, p: Parameters) -> DataFrame:

@@ -130,3 +130,9 @@ def first_seen_mode(rows: DataFrame, key: str, value: str, position: str) -> Dat
     g = rows.groupBy(key, value).agg(F.count("*").alias("n"), F.min(position).alias("_at"))
     w = Window.partitionBy(key).orderBy(F.desc("n"), "_at")
     return g.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(key, value, "n")
+
+
+def ablation(per_case: DataFrame, profile: str = "profile", recall: str = "recall") -> DataFrame:
+    """delta: the mean recall of the whole ranking (hybrid_graph_rerank) less that of vectors alone; null if either is missing."""
+    mean = lambda name: F.avg(F.when(F.col(profile) == name, F.col(recall)))
+    return per_case.agg(F.round(mean("hybrid_graph_rerank") - mean("vector"), 9).alias("delta"))

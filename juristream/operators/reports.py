@@ -11,6 +11,12 @@ def page(rows: DataFrame, order: list[Column], *, offset: int = 0, limit: int =
     return rows.orderBy(*order).offset(max(0, offset)).limit(min(100, max(1, limit)))
 
 
+def page_after(rows: DataFrame, key: str, after=None, limit: int = 500) -> DataFrame:
+    """The next `limit` rows by a unique key: those above the last one read, so no page reads what pages before it had. The comparison reaches the scan."""
+    left = rows if after is None else rows.where(F.col(key) > F.lit(after))
+    return left.orderBy(key).limit(limit)
+
+
 def latest_then_filter(rows: DataFrame, order: list[Column], condition: Column, window: int = 100) -> DataFrame:
     """What holds among the latest `window` rows, which is less than the latest rows for which it holds."""
     return rows.orderBy(*order).limit(window).where(condition)
