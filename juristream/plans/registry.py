@@ -1,7 +1,7 @@
 """All registered queries of the engine's own operators, and their SQL twins."""
 
-from juristream.plans import acceptance, analytics, graphs, law, retrieval, stewardship, tables, temporal, texts
+from juristream.plans import acceptance, analytics, checks, graphs, law, retrieval, stewardship, tables, temporal, texts
 
-MODULES = (temporal, law, acceptance, graphs, tables, stewardship, analytics, texts, retrieval)
+MODULES = (temporal, law, acceptance, checks, graphs, tables, stewardship, analytics, texts, retrieval)
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
