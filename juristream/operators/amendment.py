@@ -206,13 +206,13 @@ def parse_instructions(texts: DataFrame) -> DataFrame:
 def commit_conflicts(operations: DataFrame, versions: DataFrame, edges: DataFrame) -> DataFrame:
     """operation_id, reasons of operations (operation_id, kind, old_id, old_checksum, new_id, new_checksum, review_status) that can't be committed.
 
-    Each named version must exist exactly once with that checksum; an old one must be open and without successor, a new one without
+    Each named version must exist exactly once with that checksum; an old one must be open, or closed where the new one begins, and without successor, a new one without
     predecessor; no version may be named twice; no edge may close a cycle; only accepted operations count.
     """
-    known = versions.groupBy(F.col("provision_id").alias("_id"), F.col("text_checksum").alias("_sum")).agg(F.count("*").alias("_n"), F.max(F.col("effective_to").isNotNull()).alias("_closed"), F.min("effective_from").alias("_from"))
+    known = versions.groupBy(F.col("provision_id").alias("_id"), F.col("text_checksum").alias("_sum")).agg(F.count("*").alias("_n"), F.max("effective_to").alias("_to"), F.min("effective_from").alias("_from"))
     o = operations
     for side in ("old", "new"):
-        mine = known.select(F.col("_id").alias(f"{side}_id"), F.col("_sum").alias(f"{side}_checksum"), F.col("_n").alias(f"{side}_n"), F.col("_closed").alias(f"{side}_closed"), F.col("_from").alias(f"{side}_from"))
+        mine = known.select(F.col("_id").alias(f"{side}_id"), F.col("_sum").alias(f"{side}_checksum"), F.col("_n").alias(f"{side}_n"), F.col("_to").alias(f"{side}_to"), F.col("_from").alias(f"{side}_from"))
         o = o.join(mine, [f"{side}_id", f"{side}_checksum"], "left")
     out = edges.select(F.col("src").alias("old_id"), F.col("dst").alias("_next")).groupBy("old_id").agg(F.collect_set("_next").alias("next"))
     into = edges.select(F.col("dst").alias("new_id"), F.col("src").alias("_last")).groupBy("new_id").agg(F.collect_set("_last").alias("last"))
@@ -233,6 +233,7 @@ def commit_conflicts(operations: DataFrame, versions: DataFrame, edges: DataFram
             F.when((F.col("kind") == "PAIRED") & foreign("next", F.col("new_id")), F.lit("old_has_other_successor")),
             F.when((F.col("kind") == "PAIRED") & foreign("last", F.col("old_id")), F.lit("new_has_other_predecessor")),
             F.when((F.col("kind") == "PAIRED") & (F.col("new_from") <= F.col("old_from")), F.lit("new_not_later")),
+            F.when((F.col("kind") == "PAIRED") & (F.col("old_to") != F.col("new_from")), F.lit("old_closed_otherwise")),
             F.when(F.coalesce("loop", F.lit(False)), F.lit("cycle")),
         )
     )
