@@ -23,7 +23,7 @@ def classify(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each suffix is of type S, and the places of the leftmost S."""
     n = len(t)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(t[1:].astype(np.int16) - t[:-1])
+    step[:-1] = (t[1:] > t[:-1]).astype(np.int8) - (t[1:] < t[:-1])
     step[-1] = -1  # the end is smaller than anything
     at = np.where(step != 0, np.arange(n, dtype=np.int32), n - 1)
     smaller = step[np.minimum.accumulate(at[::-1])[::-1]] > 0
@@ -37,30 +37,14 @@ def renumber(order: np.ndarray, new: np.ndarray) -> np.ndarray:
     return names
 
 
-def name_substrings(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Names of the substrings from each leftmost S to the next (both ends included), in their order.
-
-    Where one is the beginning of another it is the larger: its last character is of type S, the other's there of type L.
-    """
-    m = len(lms)
-    ends = np.append(lms[1:] + 1, len(t) + 1).astype(np.int64)  # the last reaches beyond the end, as no other does
-    length = ends - lms
-    text = words(np.concatenate([t, [0]]).astype(np.uint8))
-    shift = np.uint64(8)
-
-    def key(which: np.ndarray, skip: int) -> np.ndarray:
-        left = np.clip(length[which] - skip, 0, 8).astype(np.uint64)
-        k = text[np.minimum(lms[which] + skip, len(text) - 1)].byteswap()  # first byte highest
-        fill = np.where(left < 8, ~np.uint64(0) >> np.minimum(left * shift, np.uint64(63)), np.uint64(0))
-        fill = np.where(left == 0, ~np.uint64(0), fill)
-        return k | fill
-
-    k = key(np.arange(m), 0)
+def name_by_keys(length: np.ndarray, key, step: int) -> np.ndarray:
+    """Dense names, in order, of strings of these lengths; key(which, skip): their next `step` characters from `skip` on as one integer."""
+    k = key(np.arange(len(length)), 0)
     order = np.argsort(k, kind="stable")
     new = np.append(True, k[order][1:] != k[order][:-1])
-    skip = 8
+    skip = step
     while True:
-        # Only where equal keys include a longer substring is there more to compare.
+        # Only where equal keys include a longer string is there more to compare.
         group = np.cumsum(new) - 1
         sizes = np.bincount(group)
         longer = np.zeros(len(sizes), bool)
@@ -74,73 +58,81 @@ def name_substrings(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
         order[active] = part[again]
         g, k = g[again], k[again]
         new[active] |= np.append(True, (g[1:] != g[:-1]) | (k[1:] != k[:-1]))
-        skip += 8
+        skip += step
+
+
+def substring_lengths(lms: np.ndarray, n: int) -> np.ndarray:
+    """From each leftmost S to the next, both included; the last reaches beyond the end, as no other does."""
+    return np.append(lms[1:] + 1, n + 1).astype(np.int64) - lms
+
+
+def name_substrings(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Names of the substrings of bytes from each leftmost S to the next, in their order.
+
+    Where one is the beginning of another it is the larger: its last character is of type S, the other's there of type L.
+    """
+    length = substring_lengths(lms, len(t))
+    text = words(np.concatenate([t, [0]]).astype(np.uint8))
+    shift = np.uint64(8)
+
+    def key(which: np.ndarray, skip: int) -> np.ndarray:
+        left = np.clip(length[which] - skip, 0, 8).astype(np.uint64)
+        k = text[np.minimum(lms[which] + skip, len(text) - 1)].byteswap()  # first byte highest
+        fill = np.where(left < 8, ~np.uint64(0) >> np.minimum(left * shift, np.uint64(63)), np.uint64(0))
+        fill = np.where(left == 0, ~np.uint64(0), fill)
+        return k | fill
+
+    return name_by_keys(length, key, 8)
+
+
+def name_integers(s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same for a string of integers below 2^31 - 2: two at a time."""
+    length, beyond = substring_lengths(lms, len(s)), np.int64((1 << 31) - 1)
+    text = np.concatenate([s + 1, np.zeros(3, np.int64)])
+
+    def key(which: np.ndarray, skip: int) -> np.ndarray:
+        left, at = length[which] - skip, np.minimum(lms[which] + skip, len(s) + 1)
+        return np.where(left > 0, text[at], beyond) << 31 | np.where(left > 1, text[at + 1], beyond)
+
+    return name_by_keys(length, key, 2)
 
 
 def sort_names(names: np.ndarray) -> np.ndarray:
     """The suffixes of a string of names, in order: as the names themselves where no two are equal, else by induced sorting again."""
     if names.max() + 1 == len(names):
         return np.argsort(names, kind="stable")
-    return np.array(induced_order(names.tolist(), int(names.max()) + 1), np.int64)
+    smaller, lms = classify(names)
+    order = lms[sort_names(name_integers(names, lms))] if len(lms) else lms
+    return induce_one_by_one(names, smaller, order.tolist())
 
 
-def induced_order(s: list[int], k: int) -> list[int]:
-    """The suffix array of a non-empty string of integers below k, in time linear in its length, one suffix after another.
-
-    Leftmost S suffixes are first put into their buckets in any order: inducing from them sorts the substrings between them.
-    The string of these substrings' names is sorted in the same way, and inducing from that order gives the order of all.
-    """
+def induce_one_by_one(s: np.ndarray, smaller: np.ndarray, order: list[int]) -> np.ndarray:
+    """The suffix array of a string of names from its leftmost S suffixes in order, one suffix after another: buckets are many and small here."""
     n = len(s)
-    small = bytearray(n)
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    ends = np.cumsum(np.bincount(s, minlength=k)).tolist()
-    starts = [0, *ends[:-1]]
-
-    def induce(order: list[int]) -> list[int]:
-        sa, tail, head = [-1] * n, ends[:], starts[:]
-        for i in reversed(order):
-            c = s[i]
+    ends = np.cumsum(np.bincount(s)).tolist()
+    small, s = smaller.tobytes(), s.tolist()
+    sa, tail, head = [-1] * n, ends[:], [0, *ends[:-1]]
+    for i in reversed(order):
+        c = s[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    c = s[n - 1]  # the end is smaller than anything, so the last suffix leads its bucket
+    sa[head[c]] = n - 1
+    head[c] += 1
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0 and not small[j]:
+            c = s[j]
+            sa[head[c]] = j
+            head[c] += 1
+    tail = ends[:]
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and small[j]:
+            c = s[j]
             tail[c] -= 1
-            sa[tail[c]] = i
-        c = s[n - 1]  # the end is smaller than anything, so the last suffix leads its bucket
-        sa[head[c]] = n - 1
-        head[c] += 1
-        for i in range(n):
-            j = sa[i] - 1
-            if j >= 0 and not small[j]:
-                c = s[j]
-                sa[head[c]] = j
-                head[c] += 1
-        tail = ends[:]
-        for i in range(n - 1, -1, -1):
-            j = sa[i] - 1
-            if j >= 0 and small[j]:
-                c = s[j]
-                tail[c] -= 1
-                sa[tail[c]] = j
-        return sa
-
-    if not lms:
-        return induce([])
-    number = dict(zip(lms, range(len(lms)), strict=True))
-    stop = [*(j + 1 for j in lms[1:]), n + 1]
-    names, name, before = [0] * len(lms), -1, None
-    for i in induce(lms):
-        at = number.get(i)
-        if at is None:
-            continue
-        this = s[i : stop[at]] if stop[at] <= n else None  # the last reaches the end, as no other does
-        if this is None or this != before:
-            name += 1
-        names[at], before = name, this
-    if name + 1 < len(lms):
-        return induce([lms[i] for i in induced_order(names, name + 1)])
-    order = [0] * len(lms)
-    for at, i in enumerate(names):
-        order[i] = lms[at]
-    return induce(order)
+            sa[tail[c]] = j
+    return np.array(sa, np.int64)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
