@@ -393,7 +393,7 @@ def stepwise(queries: DataFrame, provisions: DataFrame, vectors: DataFrame | Non
 
     queries: query_id, text, vector (if vectors are given). provisions: provision_id, lineage_id, logical_vb_id, text. vectors: provision_id, vector.
     """
-    ids, numbers = T.legal_identifiers(F.col("text")), T.document_numbers(F.col("text"))
+    ids, numbers = T.legal_identifiers(F.col("text")), T.document_numbers(F.regexp_replace("text", r"\S+::D\S+", " "))  # an id's own number names no document besides
     named = queries.select("query_id", F.explode(F.concat(ids, F.transform(numbers, T.document_number))).alias("identifier"))
     direct = exact(provisions, named).select("query_id", F.col("provision_id").alias("key"), "score")
     rest = queries.join(direct.select("query_id").distinct(), "query_id", "left_anti").where((F.size(ids) == 0) | (F.size(numbers) > 0))
