@@ -104,11 +104,15 @@ class Founders:
                 best, value = i, s
         if best is not None:
             return self.texts[best], value
+        self.add(text)
+        return text, 1.0
+
+    def add(self, text: str) -> None:
+        own = set(text.split())
         for w in own:
             self.by_word.setdefault(w, []).append(len(self.texts))
         self.texts.append(text)
         self.words.append(own)
-        return text, 1.0
 
 
 def cluster_claims(claims: DataFrame, *, prefix: str = "misconception") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from juristream.functions import arrow
 from juristream.operators import amendment, claims, retrieval
 from juristream.plans.common import Collected, table
 
@@ -42,6 +43,21 @@ def amend_score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return amendment.score_pairs(old, new).select("document", F.col("old_provision_id").alias("old_id"), F.col("new_provision_id").alias("new_id"), "score")
 
 
+@found.add(_SIDES.split(", x AS (")[0].rstrip().rstrip(",") + """
+, q AS (SELECT a.k, a.w AS v, b.w FROM s a JOIN s b ON b.k = a.k + 1), z AS (SELECT k, list_filter(list_zip(v, w), lambda p: p[1] = p[2]) AS same, list_filter(list_zip(v, w), lambda p: p[1] <> p[2]) AS other FROM q)
+SELECT k, round(len(same) / 4.0::DOUBLE, 9) AS ratio, array_to_string(list_transform(same, lambda p: p[1]), ' ') AS kept, CAST(len(other) AS INTEGER) AS n_changed FROM z
+""")
+def seq_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's words against the next one's: how alike they are in order, what stays and how many words change."""
+    old, new = sides(spark, sf_dir)
+    rows = old.unionByName(new).select("k", "text")
+    both = rows.join(rows.select((F.col("k") - 1).alias("k"), F.col("text").alias("next")), "k")
+    hunks = both.select("k", arrow.token_ratio("text", "next").alias("ratio"), arrow.token_diff("text", "next").alias("h"))
+    of = lambda kind: F.filter("h", lambda x: x["type"] == kind)
+    changed = F.aggregate(of("replace"), F.lit(0), lambda n, x: n + F.size(F.split(x["old"], " ")))
+    return hunks.select("k", F.round("ratio", 9).alias("ratio"), F.array_join(F.transform(of("equal"), lambda x: x["old"]), " ").alias("kept"), changed.alias("n_changed"))
+
+
 _COMMIT = """
 WITH v AS (
   SELECT 'o' || CAST(c_custkey AS VARCHAR) AS provision_id, 'so' || CAST(c_custkey AS VARCHAR) AS text_checksum, DATE '2020-01-01' AS effective_from, CASE WHEN c_custkey % 17 = 0 THEN DATE '2020-06-01' END AS effective_to FROM customer

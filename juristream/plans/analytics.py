@@ -163,9 +163,20 @@ def join_theta_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("l", F.row_number().over(w("old_id"))).withColumn("r", F.row_number().over(w("new_id"))).where("l = 1 AND r = 1").drop("l", "r")
 
 
-@found.add()
+@found.add("""
+WITH RECURSIVE n AS (SELECT p_type, p_name, min(p_partkey) AS id FROM part GROUP BY 1, 2), t AS (SELECT *, string_split(p_name, ' ') AS w FROM n),
+s AS (SELECT a.p_type AS document, a.id AS l, b.id AS r, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS score FROM t a JOIN t b ON a.p_type = b.p_type AND a.id % 2 = 0 AND b.id % 2 = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY score DESC, l, r) AS n FROM s WHERE score >= 0.3),
+walk AS (
+  SELECT document, 0::BIGINT AS n, CAST([] AS BIGINT[]) AS ls, CAST([] AS BIGINT[]) AS rs, FALSE AS taken, 0::BIGINT AS l, 0::BIGINT AS r, 0.0::DOUBLE AS score FROM (SELECT DISTINCT document FROM k)
+  UNION ALL
+  SELECT w.document, k.n, CASE WHEN free THEN list_append(ls, k.l) ELSE ls END, CASE WHEN free THEN list_append(rs, k.r) ELSE rs END, free, k.l, k.r, k.score
+  FROM (SELECT w.*, k.n AS next, NOT list_contains(w.ls, k.l) AND NOT list_contains(w.rs, k.r) AS free FROM walk w JOIN k ON k.document = w.document AND k.n = w.n + 1) w JOIN k ON k.document = w.document AND k.n = w.next
+)
+SELECT document, l AS old_provision_id, r AS new_provision_id, score FROM walk WHERE taken
+""")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole greedy pairing over the same pairs; it has no SQL form."""
+    """The whole greedy pairing over the same pairs: in SQL, as the walk over them that it stands for."""
     names = table(spark, sf_dir, "part").groupBy("p_type", "p_name").agg(F.min("p_partkey").alias("id"))
     words = names.withColumn("w", F.split("p_name", " ")).withColumn("term", F.explode(F.array_distinct("w")))
     a = words.where("id % 2 = 0").select("p_type", "term", F.col("id").alias("old_provision_id"), F.col("w").alias("old_w"))

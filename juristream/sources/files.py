@@ -122,6 +122,45 @@ def add_objects(files: DataFrame, path: str) -> DataFrame:
     return new
 
 
+def objects(spark: SparkSession, path: str) -> DataFrame:
+    """What add_objects() has stored, each checksum once: two writers at a time may both have added one."""
+    return spark.read.parquet(path).dropDuplicates(["checksum"])
+
+
+def capped(rows: DataFrame, keys: list[str], most: int, order: list[Column]) -> DataFrame:
+    """The first `most` rows of each key: what a source takes for a topic, a query or a channel in one poll."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def since(rows: DataFrame, now: str, hours: int = 24) -> DataFrame:
+    """Posts published in the hours before a poll; undated ones stay."""
+    return rows.where(F.col("published").isNull() | (F.col("published") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS")))
+
+
+def expanded_queries(topics: DataFrame, orders: tuple[str, ...] = ("relevance", "date"), suffixes: tuple[str, ...] = ("", " quy định", " mức phạt")) -> DataFrame:
+    """topic, query, order: what a video search is asked for each topic (column topic)."""
+    one = lambda values: F.explode(F.array(*map(F.lit, values)))
+    rows = topics.select("topic", one(suffixes).alias("_s")).select("topic", F.concat("topic", "_s").alias("query"))
+    return rows.select("topic", "query", one(orders).alias("order"))
+
+
+def on_topic(rows: DataFrame, topics: dict[str, tuple[str, ...]], default: str | None = None) -> DataFrame:
+    """Posts with the topic they mention first, or the default (posts of a page that is itself about one); without either they go."""
+    from juristream.functions.dialogue import first_topic
+
+    named = rows.withColumn("topic", F.coalesce(first_topic(F.col("text"), topics), F.lit(default).cast("string")))
+    return named.where("topic IS NOT NULL")
+
+
+def with_bodies(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """Listed articles (url, title) with the text of their page (url, html) where that was fetched; without, the title stands for it."""
+    body = pages.select("url", T.clean_text(T.strip_html(F.col("html"))).alias("body")).dropDuplicates(["url"])
+    return links.join(body, "url", "left").withColumn("text", F.coalesce(F.nullif("body", F.lit("")), "title")).drop("body")
+
+
 def report(df: DataFrame, path: str) -> None:
     """An evaluation report as JSON lines."""
     df.write.mode("errorifexists").json(path)

@@ -117,3 +117,27 @@ def into_snapshots(stream: DataFrame, path: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def cluster_stream(claims: DataFrame, late: str = LATE, idle: str = "30 days"):
+    """ykien_id, founder, similarity of claims (ykien_id, topic, anchor, signature, normalized, ts) as they come: each joins the cluster whose first claim is most
+    similar, as on a table, or founds one. State holds a key's founders; it goes when a key was idle for so long in event time."""
+    from juristream.operators.claims import Founders
+
+    pause = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        founders = Founders()
+        for text in state.get[0] if state.exists else []:
+            founders.add(text)
+        rows = pd.concat(list(batches)).sort_values(["ts", "ykien_id"])
+        found = [founders.place(text) for text in rows["normalized"]]
+        state.update((founders.texts,))
+        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + pause)
+        yield pd.DataFrame({"ykien_id": rows["ykien_id"].to_numpy(), "founder": [f for f, _ in found], "similarity": [v for _, v in found]})
+
+    keyed = _timed(claims, late).groupBy("topic", "anchor", "signature")
+    return keyed.applyInPandasWithState(run, "ykien_id string, founder string, similarity double", "founders array<string>", "append", GroupStateTimeout.EventTimeTimeout)
