@@ -341,10 +341,11 @@ def relevant(hits: DataFrame, queries: DataFrame, *, least: float = RELEVANT) ->
 
     Queries that name a document, or have no topic words, keep all their hits in the order they had.
     """
-    free = D.names_document(F.col("_query")) | (F.size(D.required_terms(F.col("_query"))) == 0)
-    both = hits.join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
-    fit = D.topic_relevance(F.col("_query"), F.concat_ws(" ", F.col("key").cast("string"), "text"))
-    scored = both.withColumn("_free", free).withColumn("relevance", F.when(~F.col("_free"), fit))
+    free = D.names_document(F.col("text")) | (F.size(D.required_terms(F.col("text"))) == 0)
+    asked = queries.select("query_id", free.alias("_free"), D.question_profile(F.col("text")).alias("_profile"))
+    both = hits.join(cut(asked), "query_id")  # a question is looked at once, not with each of its passages
+    fit = D.profile_fit(F.col("_profile"), F.concat_ws(" ", F.col("key").cast("string"), "text"))
+    scored = both.withColumn("relevance", F.when(~F.col("_free"), fit))
     kept = scored.where(F.col("_free") | (F.col("relevance") >= least)).withColumn("value", F.coalesce(F.col("relevance") + SCORE_SHARE * F.coalesce("score", F.lit(0.0)), F.col("score")))
     w = Window.partitionBy("query_id").orderBy(F.desc("value"), "key")
     return kept.withColumn("position", F.row_number().over(w)).select("query_id", "key", "text", "score", "relevance", "value", "position")
@@ -375,7 +376,7 @@ def keyword_search(queries: DataFrame, passages: DataFrame, limit: int = KEYWORD
     Pairs meet at a word of a keyword, so no query is held against every passage.
     """
     body = F.lower(F.coalesce("text", F.lit("")))
-    asked = queries.select("query_id", F.transform(D.keyword_queries(F.col("text")), F.lower).alias("_k"), F.transform(D.required_terms(F.col("text")), F.lower).alias("_r"))
+    asked = cut(queries.select("query_id", F.transform(D.keyword_queries(F.col("text")), F.lower).alias("_k"), F.transform(D.required_terms(F.col("text")), F.lower).alias("_r")))
     by_word = asked.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("_k", lambda k: T.tokens(k))))).alias("term"))
     words = passages.select("key", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     met = words.join(F.broadcast(by_word) if bounded(by_word, 100_000) else by_word, "term").select("query_id", "key").distinct()

@@ -16,6 +16,8 @@ found = Collected()
 QUERIES, ORACLES = found.queries, found.oracles
 
 ARTICLE, CLAUSE, OTHER = "1/2020/ND-CP::D0", "1/2020/ND-CP::D0.K1", "2/2020/ND-CP::D0.K1"
+#: An article in force on a day on which none of its clauses is.
+BARE, EARLY = "2/2020/ND-CP::D7", "1995-03-01"
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -77,8 +79,8 @@ _SQL = {
                FROM (SELECT * FROM p WHERE effective_from <= DATE '{LATER}' AND (effective_to IS NULL OR DATE '{LATER}' < effective_to)) c
                LEFT JOIN (SELECT * FROM p WHERE effective_from <= DATE '{LATER}' AND (effective_to IS NULL OR DATE '{LATER}' < effective_to)) x ON x.parent_lineage_id = c.lineage_id WHERE c.lineage_id = '{ARTICLE}' GROUP BY 1""",
     "T03": f"SELECT provision_id FROM p WHERE lineage_id = '{OTHER}' AND effective_from <= DATE '{LATER}' AND (effective_to IS NULL OR DATE '{LATER}' < effective_to)",
-    "T04": f"""SELECT provision_id FROM p WHERE level = 'dieu' AND lineage_id = '{ARTICLE}' AND effective_from <= DATE '{DAY}' AND (effective_to IS NULL OR DATE '{DAY}' < effective_to)
-               AND NOT EXISTS (SELECT 1 FROM p c WHERE c.parent_lineage_id = p.lineage_id AND c.effective_from <= DATE '{DAY}' AND (c.effective_to IS NULL OR DATE '{DAY}' < c.effective_to))""",
+    "T04": f"""SELECT provision_id FROM p WHERE level = 'dieu' AND lineage_id = '{BARE}' AND effective_from <= DATE '{EARLY}' AND (effective_to IS NULL OR DATE '{EARLY}' < effective_to)
+               AND NOT EXISTS (SELECT 1 FROM p c WHERE c.parent_lineage_id = p.lineage_id AND c.effective_from <= DATE '{EARLY}' AND (c.effective_to IS NULL OR DATE '{EARLY}' < c.effective_to))""",
     "T05": f"""SELECT (SELECT array_to_string(list(version_no ORDER BY version_no), ', ') FROM p WHERE lineage_id = '{CLAUSE}') AS a_versions, (SELECT array_to_string(list(version_no ORDER BY version_no), ', ') FROM p WHERE lineage_id = '{OTHER}') AS b_versions""",
     "T06": "SELECT lineage_id FROM p WHERE lineage_id = '{lineage}'",
     "T07": f"SELECT coalesce(array_to_string(list(provision_id ORDER BY provision_id), ', '), '') AS active FROM p WHERE lineage_id = '{OTHER}' AND effective_from <= DATE '{LATER}' AND (effective_to IS NULL OR DATE '{LATER}' < effective_to)",
@@ -98,7 +100,7 @@ _SQL = {
     "PG05": """SELECT 'candidates' AS kind, l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_partkey % 50 = 0 OR l_orderkey NOT IN (SELECT o_orderkey FROM orders)
                UNION ALL SELECT 'events', o_orderkey * 2 FROM orders WHERE o_orderkey % 5 > 0 AND o_orderkey % 77 = 0""",
     "PG06": "SELECT o_orderkey AS batch_id FROM orders WHERE o_orderstatus <> 'F' AND (o_orderkey % 5 = 0 OR o_orderkey % 77 = 0)",
-    "PG07": "SELECT o_orderkey AS batch_id FROM orders WHERE o_orderkey = 33 AND o_orderstatus = 'O'",
+    "PG07": "SELECT o_orderkey AS batch_id FROM orders WHERE o_orderkey = 32 AND o_orderstatus = 'O'",
 }
 
 
@@ -123,7 +125,7 @@ def _listed(*columns: str):
 _register("T01", _TABLES + _SQL["T01"], _listed("children"))
 _register("T02", _TABLES + _SQL["T02"], _listed("points"))
 _register("T03", _TABLES + _SQL["T03"])
-_register("T04", _TABLES + _SQL["T04"], parameters={"as_of": DAY, "lineage": ARTICLE})
+_register("T04", _TABLES + _SQL["T04"], parameters={"as_of": EARLY, "lineage": BARE})
 _register("T05", _TABLES + _SQL["T05"], _listed("a_versions", "b_versions"))
 for _id in ("T07", "T08"):
     _register(_id, _TABLES + _SQL["T07"], _listed("active"), parameters={"as_of": LATER})
@@ -134,7 +136,7 @@ for _id in ("T16", "T17", "T18", "T19", "T20", "N01"):
 _register("N02", _TABLES + _SQL["N02"], occurrences="doubled")
 for _id in ("PG02", "PG03", "PG04", "PG05", "PG06"):
     _register(_id, _SQL[_id])
-_register("PG07", _SQL["PG07"], parameters={"batch_id": 33})
+_register("PG07", _SQL["PG07"], parameters={"batch_id": 32})
 
 
 def _of_first(name: str, shape, sql: str, **parameters: object) -> None:

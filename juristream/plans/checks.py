@@ -226,10 +226,11 @@ f AS (SELECT misconception_id, round(impact, 6) AS a, round(reach, 6) AS b, roun
              round(greatest(0, least(1, (CASE WHEN hashes > 0 THEN hashes ELSE n END) / greatest(1.0, CASE WHEN sources > 1 THEN hours ELSE 24 END) / 0.5)), 6) AS d, round(greatest(0, least(1, (CASE WHEN hashes > 0 THEN hashes ELSE n END) / 3.0)), 6) AS e, round(recent, 6) AS r,
              round(greatest(0, least(1, engagement / n)), 6) AS g, round(greatest(0, least(1, incomplete / CAST(n AS DOUBLE))), 6) AS p FROM g),
 t AS (SELECT misconception_id, round(greatest(0.0, least(1.0, round(a * 0.25::DOUBLE, 6) + round(b * 0.2::DOUBLE, 6) + round(c * 0.15::DOUBLE, 6) + round(d * 0.15::DOUBLE, 6) + round(e * 0.1::DOUBLE, 6) + round(r * 0.1::DOUBLE, 6) + round(g * 0.05::DOUBLE, 6) - 0.3::DOUBLE * p)), 6) AS risk FROM f)
-SELECT misconception_id, risk FROM t
+SELECT misconception_id, CAST(floor(risk * 10000 + 0.005) AS BIGINT) AS risk FROM t
 """)
 def claim_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims.risk_scores(occurrences(spark, sf_dir), "2026-01-01").select("misconception_id", F.col("risk_score").alias("risk"))
+    """Risk in ten-thousandths: the sixth digit of a sum of doubles may differ by one."""
+    return claims.risk_scores(occurrences(spark, sf_dir), "2026-01-01").select("misconception_id", F.floor(F.col("risk_score") * 10000 + 0.005).alias("risk"))
 
 
 @found.add(_OCCUR + "SELECT misconception_id, count(*) AS volume, count(DISTINCT coalesce(content_hash, content_id)) AS source_count, count(DISTINCT CASE WHEN CAST(ykien_id AS BIGINT) % 3 = 0 THEN 'zalo' ELSE 'fb' END) AS provider_count FROM o GROUP BY 1")
