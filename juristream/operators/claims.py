@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -119,8 +120,8 @@ def cluster_claims(claims: DataFrame, *, prefix: str = "misconception") -> DataF
     """Claims (ykien_id, topic, legal_anchor_id, claim_text, created_at, nli_label, nli_score) that contradict with confidence, in clusters.
 
     In order of (created_at, ykien_id) a claim joins the cluster of the same topic, anchor, numbers and negations whose first claim is most similar,
-    from 0.84 on, the earlier one in a tie; else it founds one. Equal claims are decided once. Groups are as narrow as these four keys
-    make them. Returns ykien_id, misconception_id (a UUID named prefix:topic:anchor:claim of the first claim), similarity, created.
+    from 0.84 on, the earlier one in a tie; else it founds one. Equal claims are decided once. A group of these four is walked in order, as
+    each claim depends on the ones before; only its founders are held. Returns ykien_id, misconception_id (a UUID named prefix:topic:anchor:claim of the first claim), similarity, created.
     """
     kept = claims.where((F.col("nli_label") == "mau_thuan") & (F.col("nli_score") >= CONFIDENT))
     named = kept.withColumn("normalized", arrow.normalized_claim_nfkc(F.col("claim_text")))
@@ -129,14 +130,21 @@ def cluster_claims(claims: DataFrame, *, prefix: str = "misconception") -> DataF
     keys = ["topic", "legal_anchor_id", "signature", "normalized"]
     distinct = named.groupBy(*keys).agg(F.min(F.struct("created_at", "ykien_id")).alias("first"))
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_at=[(x["created_at"], x["ykien_id"]) for x in pdf["first"]]).sort_values("_at")
-        founders = Founders()
-        found = [founders.place(text) for text in pdf["normalized"]]
-        ids = [str(uuid.uuid5(uuid.NAMESPACE_URL, f"{prefix}:{t}:{a}:{n}")) for t, a, (n, _) in zip(pdf["topic"], pdf["legal_anchor_id"], found, strict=True)]
-        return pd.DataFrame({"topic": pdf["topic"], "legal_anchor_id": pdf["legal_anchor_id"], "signature": pdf["signature"], "normalized": pdf["normalized"], "misconception_id": ids, "similarity": [v for _, v in found]})
-
-    assigned = distinct.groupBy("topic", "legal_anchor_id", "signature").applyInPandas(assign, "topic string, legal_anchor_id string, signature string, normalized string, misconception_id string, similarity double")
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, founders = None, Founders()
+        for pdf in batches:
+            found = []
+            for *key, text in zip(pdf["topic"], pdf["legal_anchor_id"], pdf["signature"], pdf["normalized"], strict=True):
+                if key != now:
+                    now, founders = key, Founders()
+                found.append(founders.place(text))
+            ids = [str(uuid.uuid5(uuid.NAMESPACE_URL, f"{prefix}:{t}:{a}:{n}")) for t, a, (n, _) in zip(pdf["topic"], pdf["legal_anchor_id"], found, strict=True)]
+            yield pdf[keys].assign(misconception_id=ids, similarity=[v for _, v in found])
+
+    # Sorted partitions stream through: a task holds the founders of one group, not its claims.
+    group = ["topic", "legal_anchor_id", "signature"]
+    ordered = distinct.select(*keys, "first.created_at", "first.ykien_id").repartition(*group).sortWithinPartitions(*group, "created_at", "ykien_id").select(*keys)
+    assigned = ordered.mapInPandas(assign, "topic string, legal_anchor_id string, signature string, normalized string, misconception_id string, similarity double")
     rows = named.join(assigned, keys).join(distinct, keys)
     founder = (F.col("first.ykien_id") == F.col("ykien_id")) & (F.col("similarity") == 1.0)
     return rows.select("ykien_id", "misconception_id", "similarity", founder.alias("created"))
