@@ -16,7 +16,7 @@ from pyspark.sql import types as D
 from juristream.functions import text as T
 
 # Hosts that are never public, and the states of a review that need whom and when.
-LOCAL_HOSTS = ("localhost", "localhost.localdomain", "metadata.google.internal")
+LOCAL_HOSTS = ("localhost",)
 LOCAL_SUFFIXES = (".localhost", ".local", ".internal")
 SUBMITTED, DECIDED = ("in_review", "approved", "rejected", "committed"), ("approved", "rejected", "committed")
 SHA256 = r"^[0-9a-fA-F]{64}$"

@@ -352,17 +352,32 @@ def relevant(hits: DataFrame, queries: DataFrame, *, least: float = RELEVANT) ->
 
 
 def select_context(hits: DataFrame, queries: DataFrame, *, least: float = RELEVANT, most: int = 3, most_named: int = 6) -> DataFrame:
-    """What an answer is written from: of each query's relevant hits (document, key, text, score) those of the document with the largest sum of
-    values, `most` of them; `most_named` where the query names a document. Small talk gets none."""
-    asked = queries.where(~D.small_talk(F.col("text")))
-    fit = relevant(hits, asked, least=least).join(hits.select("query_id", "key", "document"), ["query_id", "key"])
-    named = asked.select("query_id", D.names_document(F.col("text")).alias("_named"))
-    per = fit.groupBy("query_id", "document").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("_sum"))
-    first = Window.partitionBy("query_id").orderBy(F.desc("_sum"), "document")
-    best = per.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("query_id", "document")
-    kept = fit.drop("position").join(best, ["query_id", "document"]).join(named, "query_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("value"), "key")
-    return kept.withColumn("position", F.row_number().over(w)).where(F.col("position") <= F.when(F.col("_named"), most_named).otherwise(most)).select("query_id", "document", "key", "text", "value", "position")
+    """What an answer is written from: query_id, document, key, text, position of hits (query_id, document, key, text, position) for queries (query_id, text).
+
+    A query that names a document gets `most_named` hits, those whose key has its number if there are any. Others get `most` hits on their topic; where that
+    leaves more, of the one document that fits best as a whole, by relevance and then by its number of hits. Small talk gets none.
+    """
+    asked_text = F.col("text")
+    asked = queries.where(~D.small_talk(asked_text)).select("query_id", D.names_document(asked_text).alias("_named"), F.transform(T.document_numbers(asked_text), T.plain_lower).alias("_numbers"), D.question_profile(asked_text).alias("_profile"))
+    rows = hits.join(cut(asked), "query_id")
+    own = Window.partitionBy("query_id")
+
+    named = rows.where("_named").withColumn("_hit", F.exists("_numbers", lambda n: F.contains(T.plain_lower(F.col("key")), n)))
+    named = named.withColumn("_any", F.bool_or("_hit").over(own)).where(F.col("_hit") | ~F.col("_any"))
+    named = named.withColumn("_at", F.row_number().over(own.orderBy("position", "key"))).where(F.col("_at") <= most_named)
+
+    fit = D.profile_fit(F.col("_profile"), F.concat_ws(" ", "key", "text"))
+    free = rows.where(~F.col("_named")).withColumn("_fit", F.when(F.size("_profile.terms") > 0, fit)).where(F.col("_fit").isNull() | (F.col("_fit") >= least))
+    free = cut(free.withColumn("_at", F.row_number().over(own.orderBy(F.desc_nulls_last("_fit"), "position", "key"))))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"]), " ")
+    whole = free.groupBy("query_id", "document").agg(texts.alias("_texts"), F.any_value("_profile").alias("_profile"), F.count("*").alias("_items"), F.min("_at").alias("_first"))
+    whole = whole.withColumn("_whole", D.profile_fit(F.col("_profile"), F.concat_ws(" ", "document", "_texts")))
+    best = whole.withColumn("_n", F.row_number().over(own.orderBy(F.desc("_whole"), F.desc("_items"), "_first"))).withColumn("_all", F.sum("_items").over(own)).where("_n = 1")
+    one = F.when((F.col("_all") > most) & (F.col("_whole") > 0), F.col("document"))
+    kept = free.join(best.select("query_id", one.alias("_one")), "query_id").where(F.col("_one").isNull() | (F.col("document") == F.col("_one")))
+    kept = kept.withColumn("_at", F.row_number().over(own.orderBy("_at"))).where(F.col("_at") <= most)
+    out = ["query_id", "document", "key", "text", F.col("_at").alias("position")]
+    return named.select(*out).unionByName(kept.select(*out))
 
 
 # Scores of keyword hits where vectors gave none, and how many of either are taken.
