@@ -177,6 +177,16 @@ def bad_vectors(points: DataFrame, vector: str, dims: int) -> DataFrame:
     return points.where(v.isNull() | (F.size(v) != dims) | F.coalesce(odd, F.lit(False)))
 
 
+def upsert_vectors(old: DataFrame, new: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
+    """old with new points written over it, by key; raises before anything is merged if a vector of the new ones doesn't fit the collection."""
+    from juristream.operators.snapshots import upsert
+
+    bad = bad_vectors(new, vector, dims).select(key).limit(5).collect()
+    if bad:
+        raise ValueError(f"vectors of other size than {dims}, or not finite: {[r[key] for r in bad]}")
+    return upsert(old, new, [key])
+
+
 def centroids(points: DataFrame, label: str, vector: str) -> DataFrame:
     """label, vector: means by component, combined before the shuffle."""
     parts = points.select(F.col(label).alias("label"), F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))

@@ -128,3 +128,11 @@ def current(spark: SparkSession, root: str) -> DataFrame:
     """The published snapshot."""
     version = spark.read.text(f"{root.rstrip('/')}/CURRENT").first()[0]
     return spark.read.parquet(f"{root.rstrip('/')}/{version}")
+
+
+def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n of keys that occur more than once; rows with a null among them don't count, as in a unique index on what is not null."""
+    there = F.lit(True)
+    for k in keys:
+        there = there & F.col(k).isNotNull()
+    return rows.where(there).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

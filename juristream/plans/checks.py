@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from juristream.functions import arrow
 from juristream.functions import text as T
-from juristream.operators import claims, contracts, evaluation, temporal, writes
+from juristream.operators import claims, contracts, evaluation, retrieval, snapshots, temporal, writes
 from juristream.plans.common import Collected, table
 from juristream.plans.law import _LAW, LATER, provisions
+from juristream.sources import files
 
 found = Collected()
 QUERIES, ORACLES = found.queries, found.oracles
@@ -537,3 +538,26 @@ def claim_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", plain.alias("normalized"))
     marks = T.claim_signatures(F.col("normalized"))
     return rows.select("event_id", "normalized", F.array_join(marks["numbers"], " ").alias("numbers"), F.array_join(marks["negations"], " ").alias("negations"))
+
+
+@found.add("SELECT k, n FROM (SELECT CASE WHEN o_orderkey % 4 > 0 THEN o_custkey END AS k, count(*) AS n FROM orders GROUP BY 1) WHERE k IS NOT NULL AND n > 1")
+def write_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that a unique index on what is not null would refuse."""
+    rows = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 4 > 0, F.col("o_custkey")).alias("k"))
+    return snapshots.repeated_keys(rows, ["k"])
+
+
+@found.add("SELECT page_id, CASE page_id % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN FALSE WHEN 3 THEN TRUE ELSE FALSE END AS article FROM pages")
+def contract_article_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of a host's articles, of its lists, of other hosts, of a host below it, and of another section."""
+    shapes = ("https://news.vn/tin-tuc/a/b-{}", "https://news.vn/tin-tuc/", "https://othernews.vn/tin-tuc/a/b", "http://m.news.vn/tin-tuc/x/y?p=1", "https://news.vn/van-ban/a/b")
+    url = F.element_at(F.array(*map(F.lit, shapes)), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", files.article_url(url, "news.vn", "/tin-tuc/").alias("article"))
+
+
+@found.add("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS batch FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 2 = 0")
+def write_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection of even points, written over by those divisible by three."""
+    e = table(spark, sf_dir, "embeddings")
+    old = e.where("vec_id % 2 = 0").select("vec_id", "embedding", F.lit("old").alias("batch"))
+    return retrieval.upsert_vectors(old, e.where("vec_id % 3 = 0").select("vec_id", "embedding", F.lit("new").alias("batch")), "vec_id", "embedding", 64).select("vec_id", "batch")

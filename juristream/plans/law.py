@@ -214,3 +214,24 @@ def law_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineage = F.concat(document, F.lit("ND-CP::D"), F.floor(F.floor(k / 5) / 4).cast("string"))
     asked = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0 OR c_custkey <= 30").select(k.alias("query_id"), F.when(k % 3 == 0, F.concat(document, F.lit("nd-cp"))).otherwise(lineage).alias("identifier"))
     return retrieval.exact(temporal.as_of(provisions(spark, sf_dir), LATER), asked)
+
+
+@found.add(_LAW + f"""
+, f AS ({_active(LATER)}), c AS (SELECT f.* FROM f WHERE EXISTS (SELECT 1 FROM p WHERE p.lineage_id = f.lineage_id AND p.number % 3 = 0))
+SELECT provision_id FROM c WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.parent_lineage_id = c.lineage_id)
+""")
+def law_candidate_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf rule among hydrated candidates alone: an article stays if none of its clauses is one of them."""
+    rows = provisions(spark, sf_dir)
+    candidates = rows.where("number % 3 = 0").select("provision_id", F.col("number").alias("position"))
+    return temporal.deepest(temporal.hydrate(candidates, rows, LATER)).select("provision_id")
+
+
+@found.add(_LAW + """
+, l AS (SELECT DISTINCT logical_vb_id, article, clause, lineage_id, parent_lineage_id FROM p WHERE logical_vb_id <> '4/2020/ND-CP')
+SELECT logical_vb_id, article, clause FROM l WHERE NOT EXISTS (SELECT 1 FROM l c WHERE c.parent_lineage_id = l.lineage_id)
+""")
+def law_document_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf rule inside documents as parsed, without dates."""
+    rows = provisions(spark, sf_dir).where("logical_vb_id <> '4/2020/ND-CP'").select("logical_vb_id", "article", "clause", "lineage_id", "parent_lineage_id").distinct()
+    return temporal.structural_leaves(rows).select("logical_vb_id", "article", "clause")

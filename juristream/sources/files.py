@@ -70,15 +70,19 @@ def feed(spark: SparkSession, path: str, topics: list[str] | None = None) -> Dat
     return rows if topics is None else rows.where(T.contains_any(F.col("text"), topics))
 
 
+def article_url(url: Column, host: str, section: str, depth: int = 3) -> Column:
+    """Whether an address is an article's: of the host or one below it, in the section, so many path parts deep."""
+    path = F.regexp_extract(url, r"^https?://[^/]+(/[^?#]*)", 1)
+    deep = F.size(F.filter(F.split(path, "/"), lambda x: x != "")) >= depth
+    return F.regexp_like(url, F.lit(rf"^https?://(?:[\w-]+\.)*\Q{host}\E/")) & F.contains(path, F.lit(section)) & deep
+
+
 def news_links(pages: DataFrame, host: str, section: str) -> DataFrame:
-    """page_id, url, title: links of listing pages (page_id, html) to articles of a host's section, at least three path parts deep; each url once per page."""
+    """page_id, url, title: links of listing pages (page_id, html) to articles of a host's section; each url once per page."""
     a = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?is)(<a\s[^>]*href="[^"]+"[^>]*>.*?</a>)'), 1)).alias("a"))
     url = F.regexp_replace(F.regexp_extract("a", r'(?i)href="([^"#]+)', 1), "^/", f"https://{host}/")
     rows = a.select("page_id", url.alias("url"), T.canonical(T.strip_html(F.col("a"))).alias("title"))
-    path = F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1)
-    deep = F.size(F.filter(F.split(path, "/"), lambda x: x != "")) >= 3
-    wanted = rows.where(F.regexp_like("url", F.lit(rf"^https?://(?:[\w-]+\.)*\Q{host}\E/")) & F.contains(path, F.lit(section)) & deep)
-    return wanted.groupBy("page_id", "url").agg(F.max_by("title", F.length("title")).alias("title"))
+    return rows.where(article_url(F.col("url"), host, section)).groupBy("page_id", "url").agg(F.max_by("title", F.length("title")).alias("title"))
 
 
 def posts(spark: SparkSession, path: str, platform: str, schema: str = "external_id string, text string, published string, likes long, comments long, shares long, topic string") -> DataFrame:
