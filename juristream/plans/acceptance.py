@@ -152,9 +152,9 @@ def _of_first(name: str, shape, sql: str, **parameters: object) -> None:
     found.add(_TABLES + f", one AS (SELECT * FROM p WHERE lineage_id = '{CLAUSE}' AND version_no = 1)" + sql)(query)
 
 
-_of_first("T06", lambda df: df.select(F.array_join("path", ">").alias("path"), "hops", "ended"), f"""
+_of_first("T06", lambda df: df.select(F.array_join("path", ">").alias("path"), "hops"), f"""
 , c AS (SELECT list(provision_id ORDER BY version_no) AS ids FROM p WHERE lineage_id = '{CLAUSE}')
-SELECT array_to_string(ids[1:least(len(ids), 11)], '>') AS path, CAST(least(len(ids) - 1, 10) AS INTEGER) AS hops, len(ids) <= 11 AS ended FROM c WHERE len(ids) > 1
+SELECT array_to_string(ids[1:least(len(ids), 11)], '>') AS path, CAST(least(len(ids) - 1, 10) AS INTEGER) AS hops FROM c WHERE len(ids) > 1
 """)
 _of_first("T11", lambda df: df, "SELECT provision_id, text, text_checksum, effective_from, effective_to FROM one")
 _of_first("T12", lambda df: df, "SELECT 0::BIGINT AS n FROM (SELECT 1) x")
