@@ -89,7 +89,7 @@ class ByteBPE:
         for token, i in ranks.items():
             self.tokens[i] = token
         self.pieces: dict[str, bytes] = BoundedCache(lambda piece: self.encode_pieces([piece.encode()])[0], 50_000)
-        self.chunks: dict[str, bytes] = BoundedCache(self.encode_chunk, 300_000)
+        self.chunks: dict[str, bytes] = BoundedCache(self.encode_chunk, 150_000)
         self.byte_id = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         # What two neighbours merge to, if their bytes together are a token: every way to cut a token into two tokens.
         found = [(x, y, i) for token, i in ranks.items() for n in range(1, len(token)) if (x := ranks.get(token[:n])) is not None and (y := ranks.get(token[n:])) is not None]
