@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juristream.llm import bpe, embeddings, mixing, passages, simhash, topk, toxicity, urls, warc, wordpiece
+from juristream.llm import bpe, centroids, embeddings, infill, mixing, passages, simhash, tokenfiles, topk, toxicity, urls, warc, wordpiece
 from juristream.llm.common import shared_path, table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -65,5 +66,19 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_counts, op3_warc, op4_simhash_near_dedup, op5_toxicity, op6_mixing, op7_suffix_array_dedup, op8_url_filters, op9_byte_bpe, op10_exact_top_k)}
-ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_exact_top_k": topk.SQL}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-files")
+    tokenfiles.write(table(spark, sf_dir, "documents"), TOKENIZER, path, by_chunks=True)
+    return tokenfiles.documents(spark, path, with_ids=False)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.transform(table(spark, sf_dir, "documents"), with_output=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_token_counts, op3_warc, op4_simhash_near_dedup, op5_toxicity, op6_mixing, op7_suffix_array_dedup, op8_url_filters, op9_byte_bpe, op10_exact_top_k, op11_token_files, op12_centroid_clustering, op13_fill_in_middle)}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_exact_top_k": topk.SQL, "op12_centroid_clustering": centroids.SQL, "op13_fill_in_middle": infill.SQL}
