@@ -70,7 +70,7 @@ def unescape_html(text: pd.Series) -> pd.Series:
     return text.map(lambda t: html.unescape(t) if t is not None else None)
 
 
-_LETTER, _ODD, _RUN = re.compile(f"[{LETTERS}]"), re.compile(rf"[^\w\s{LETTERS}{MARKS}]"), re.compile(FORM_RUNS)
+_LETTER, _ODD, _RUN = re.compile(f"[{LETTERS}]"), re.compile(rf"[^\w\s{LETTERS}{MARKS}]"), re.compile("|".join(map(re.escape, FORM_RUNS)))
 
 
 def quality(text: str) -> float:

@@ -7,6 +7,9 @@ normal form that Spark lacks is in functions.arrow.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -225,10 +228,22 @@ def count_matches(text: Column, pattern: str) -> Column:
 LETTERS = "A-Za-zÀ-ỹĐđ"
 MARKS = ".,;:!?()/%+\\-–—\"'“”‘’\\[\\]{}|/\\\\@#&*=<>°‰…"
 PASSAGE_MARKS = ".,;:()/%\\-–—"
-FORM_RUNS = r"\.{8,}|_{8,}|-{8,}"
-PASSAGE_RUNS = r"\.{8,}|…{3,}|-{8,}|_{8,}"
-#: White space beyond what Java's class has, as the values above count it.
-MORE_SPACE = r"\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+FORM_RUNS = (8 * ".", 8 * "_", 8 * "-")
+PASSAGE_RUNS = (8 * ".", 3 * "…", 8 * "-", 8 * "_")
+#: White space: Java's class, and what the values above count besides.
+JAVA_SPACE = " \t\n\x0b\x0c\r"
+MORE_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _prose(text: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """use(trimmed text, what is left of it without its letters): all counts but that of letters are of the short rest."""
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(JAVA_SPACE + MORE_SPACE))
+    return _let(trimmed, lambda t: _let(F.regexp_replace(t, f"[{LETTERS}]+", ""), lambda rest: use(t, rest)))
 
 
 def _left(text: Column, without: str) -> Column:
@@ -240,27 +255,37 @@ def _times(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
+def _holds(text: Column, runs: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(run)) for run in runs])
+
+
 def text_quality(text: Column) -> Column:
     """0 to 1: the share of letters, less twice the share of odd characters, 0.05 for each replacement mark, 0.15 for a run of eight
     dots, lines or dashes and 0.2 where more than 0.08 are dots. Below 20 characters 0."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"\A[\s{MORE_SPACE}]+|[\s{MORE_SPACE}]+\z", "")
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    letters = _left(t, f"[^{LETTERS}]") / n
-    odd = _left(t, rf"[\p{{L}}\p{{N}}_\s{MORE_SPACE}{LETTERS}{MARKS}]") / n
-    runs = F.when(F.regexp_like(t, F.lit(FORM_RUNS)), 0.15).otherwise(0.0)
-    dense = F.when(_times(t, ".") / n > 0.08, 0.2).otherwise(0.0)
-    value = letters - 2 * odd - 0.05 * _times(t, "\ufffd") - runs - dense
-    return F.when(F.length(t) < 20, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
+
+    def value(t: Column, rest: Column) -> Column:
+        n = F.greatest(F.length(t), F.lit(1)).cast("double")
+        letters = (F.length(t) - F.length(rest)) / n
+        odd = _left(rest, rf"[\p{{L}}\p{{N}}_\s{MORE_SPACE}{MARKS}]") / n
+        runs = F.when(_holds(t, FORM_RUNS), 0.15).otherwise(0.0)
+        dense = F.when(_times(rest, ".") / n > 0.08, 0.2).otherwise(0.0)
+        share = letters - 2 * odd - 0.05 * _times(rest, "\ufffd") - runs - dense
+        return F.when(F.length(t) < 20, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+
+    return _prose(text, value)
 
 
 def readable(text: Column) -> Column:
     """Whether a passage can be quoted: 20 characters, 12 letters, no runs of form marks, few dots and odd characters."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"\A[\s{MORE_SPACE}]+|[\s{MORE_SPACE}]+\z", "")
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    dots = _times(t, ".")
-    odd = _left(t, rf"[\p{{L}}\p{{N}}_\s{MORE_SPACE}{LETTERS}{PASSAGE_MARKS}]") / n
-    few_dots = (dots / n <= 0.08) & ~((F.length(t) > 1200) & (dots > 80))
-    return (F.length(t) >= 20) & ~F.regexp_like(t, F.lit(PASSAGE_RUNS)) & few_dots & (_left(t, f"[^{LETTERS}]") >= 12) & (odd < 0.08)
+
+    def value(t: Column, rest: Column) -> Column:
+        n = F.greatest(F.length(t), F.lit(1)).cast("double")
+        dots = _times(rest, ".")
+        odd = _left(rest, rf"[\p{{L}}\p{{N}}_\s{MORE_SPACE}{PASSAGE_MARKS}]") / n
+        few_dots = (dots / n <= 0.08) & ~((F.length(t) > 1200) & (dots > 80))
+        return (F.length(t) >= 20) & ~_holds(t, PASSAGE_RUNS) & few_dots & (F.length(t) - F.length(rest) >= 12) & (odd < 0.08)
+
+    return _prose(text, value)
 
 
 def segments(text: Column, least: int = 8) -> Column:
