@@ -20,11 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from juristream.llm.common import BoundedCache, shared_path, tidy, written
+from juristream.llm.common import shared_path, tidy, written
 from juristream.llm.wavelet import END, Shard, build
 
 #: Bytes of text that a range should have, and that are encoded together.
-RANGE_BYTES, TOGETHER = 64 << 20, 8 << 20
+RANGE_BYTES, TOGETHER = 16 << 20, 8 << 20
+#: Chunks that a worker remembers (in two halves, the older of which is dropped), and the longest of them.
+REMEMBERED, LONGEST = 500_000, 64
 #: Tokens at which a shard is closed.
 SHARD_TOKENS = 1 << 21
 #: Rows of a manifest that are broadcast; a longer one is joined by a shuffle.
@@ -74,7 +76,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.encode_special_tokens = True  # their names in a text are text
         self.by_chunks = by_chunks
-        self.chunks: BoundedCache = BoundedCache(lambda x: next(self._library([x])), 500_000, 64)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
@@ -103,16 +106,24 @@ class Encoder:
         begins = np.append(np.flatnonzero(begins), len(data))
         code = pa.LargeStringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), pa.py_buffer(data)).dictionary_encode()
         chunks, at = code.dictionary.to_pylist(), code.indices.to_numpy()
-        known = self.chunks.recall(chunks)
-        new = [x for x, ids in known.items() if ids is None]
-        found = dict(zip(new, self._library(new), strict=True))
-        self.chunks.remember(found)
-        known |= found
-        ids = list(known.values())  # in the dictionary's order
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        pool, starts, size = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes, sizes[at]
+        ids = list(map(self.young.get, chunks))
+        unknown = [i for i, x in enumerate(ids) if x is None]
+        again, new = self.old, []
+        for i in unknown:
+            if (x := again.get(chunks[i])) is None:
+                new.append(i)
+            else:
+                ids[i] = x
+        for i, x in zip(new, self._library([chunks[i] for i in new]), strict=True):
+            ids[i] = x
+        if len(self.young) + len(unknown) > REMEMBERED // 2:
+            self.old, self.young = self.young, {}
+        self.young |= {chunks[i]: ids[i] for i in unknown[: REMEMBERED // 2] if len(chunks[i]) <= LONGEST}
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        pool, starts, size = np.frombuffer(b"".join(ids), np.uint32), (np.cumsum(sizes) - sizes).astype(np.int32), sizes[at]
         stop = np.append(0, np.cumsum(size))
-        every = pool[np.repeat(starts[at] - stop[:-1], size) + np.arange(stop[-1])]
+        # 32 bits do: one text is below 2 ** 31 bytes, and has no more tokens than bytes.
+        every = pool[np.repeat(starts[at] - stop[:-1].astype(np.int32), size) + np.arange(stop[-1], dtype=np.int32)]
         return every, np.diff(stop[np.searchsorted(begins, offsets)])
 
 
@@ -157,7 +168,7 @@ def write(documents: DataFrame, tokenizer: str, path: str, *, by_chunks: bool =
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     order = [F.col("id").asc_nulls_last(), F.col("tie"), F.col("row")]
-    ranges = rows.repartitionByRange(max(1, size // RANGE_BYTES, min(32, size >> 20)), *order).sortWithinPartitions(*order).select("id", "text")
+    ranges = rows.repartitionByRange(max(1, size // RANGE_BYTES), *order).sortWithinPartitions(*order).select("id", "text")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, part, number = encoder(file.value, by_chunks), TaskContext.get().partitionId(), 0
