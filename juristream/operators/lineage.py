@@ -1,22 +1,28 @@
-"""Cutting lineage where a plan would otherwise grow with every round."""
+"""The folder that a cluster shares, and cutting lineage there where a plan would otherwise grow with every round."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only where that is unset on a single machine (tests) a temporary
+    folder takes its place; a cluster's executors wouldn't share it."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="juristream-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as checkpointed in the folder that spark.checkpoint.dir names: it survives the loss of executors, and what follows plans from a
-    file. Only where that is unset on a single machine (tests) a temporary folder takes its place; a cluster's executors wouldn't share it."""
+    """df as checkpointed in the shared folder: it survives the loss of executors, and what follows plans from a file."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not re.match(r"local(\[|$)", sc.master):
-                raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-            where = "file://" + tempfile.mkdtemp(prefix="juristream-")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
