@@ -27,6 +27,8 @@ from juristream.llm.wavelet import END, Shard, build
 RANGE_BYTES, TOGETHER = 16 << 20, 8 << 20
 #: Chunks that a worker remembers (in two halves, the older of which is dropped), and the longest of them.
 REMEMBERED, LONGEST = 500_000, 64
+#: Words that are put into one text for the tokenizer.
+WORDS = 256
 #: Tokens at which a shard is closed.
 SHARD_TOKENS = 1 << 21
 #: Rows of a manifest that are broadcast; a longer one is joined by a shuffle.
@@ -76,6 +78,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.encode_special_tokens = True  # their names in a text are text
         self.by_chunks = by_chunks
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how byte-level BPE writes a space
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -83,6 +88,25 @@ class Encoder:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield array("I", e.ids).tobytes()
 
+    def _new(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk. Chunks of a space and letters are one word each for the tokenizer, also in a text of many, whose ids are parted where
+        one stands for a space with what follows."""
+        out: list[bytes | None] = [None] * len(chunks)
+        words = [i for i, x in enumerate(chunks) if x[0] == " " and x[1:].isalpha()]
+        groups = [words[i : i + WORDS] for i in range(0, len(words), WORDS)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(chunks[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) != len(group):
+                continue  # one by one
+            raw, cut = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            for i, lo, hi in zip(group, cut, cut[1:], strict=False):
+                out[i] = raw[lo:hi]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self._library([chunks[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (no nulls) behind one another, and how many each has."""
         gc.disable()  # very many small objects, none in a cycle
@@ -114,7 +138,7 @@ class Encoder:
                 new.append(i)
             else:
                 ids[i] = x
-        for i, x in zip(new, self._library([chunks[i] for i in new]), strict=True):
+        for i, x in zip(new, self._new([chunks[i] for i in new]), strict=True):
             ids[i] = x
         if len(self.young) + len(unknown) > REMEMBERED // 2:
             self.old, self.young = self.young, {}
