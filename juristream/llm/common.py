@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: The scopes that are open, each with the tables written in it so far.
-_open: list[list[tuple[SparkSession, str]]] = []
+#: The scopes that are open in this thread (or other context) of the driver, innermost first, each with the tables written in it so far.
+_open: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("open", default=())
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -51,8 +52,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     recomputation can't repeat a nondeterministic choice (a range partitioning's sample, say) differently.
     """
     path = shared_path(df.sparkSession, name)
-    if _open:
-        _open[-1].append((df.sparkSession, path))
+    if scopes := _open.get():
+        scopes[0].append((df.sparkSession, path))
     return written(df, path)
 
 
@@ -65,21 +66,23 @@ def written(df: DataFrame, path: str) -> DataFrame:
 def scope() -> Iterator[None]:
     """Tables that materialise() writes inside are deleted at the end. What is needed after it must have been written outside, or
     within through finished()."""
-    _open.append([])
+    mine: list[tuple[SparkSession, str]] = []
+    before = _open.set((mine, *_open.get()))
     try:
         yield
     finally:
-        for spark, path in _open.pop():
+        _open.reset(before)
+        for spark, path in mine:
             drop_path(spark, path)
 
 
 def finished(df: DataFrame, name: str) -> DataFrame:
     """A result written inside a scope() that stays when it ends (it belongs to the next scope outwards)."""
-    inner = _open.pop()
+    before = _open.set(_open.get()[1:])
     try:
         return materialise(df, name)
     finally:
-        _open.append(inner)
+        _open.reset(before)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

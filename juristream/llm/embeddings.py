@@ -33,7 +33,7 @@ SENDING = 2000
 PROBES, PARTNERS, REGIONS = 2048, 4, 4
 #: Windows to choose from, rows of a range of keys, and the most passes.
 WINDOWS = (64, 128, 256, 512, 1024, 2048, 4096)
-RANGE_ROWS, MOST_PASSES = 16_384, 96
+RANGE_ROWS, MOST_PASSES = 16_384, 512
 #: Bits behind a leaf's that only order it, and random ones that part ties.
 DEEP, TIES = 24, 20
 #: Passes that are shuffled together: so many copies of the vectors exist at once.
@@ -129,7 +129,9 @@ class Passes:
                     best, chosen = cost, (k, w, float(share.min()))
             if all((k + 1) * (SENDING + min(w, n)) >= best for w in WINDOWS):
                 break
-        k, self.window, self.recall = chosen or (len(self.passes), WINDOWS[-1], float(share.min()))
+        if chosen is None:
+            raise ValueError(f"{len(self.passes)} passes of window {WINDOWS[-1]} find {share.min():.3f} of made partners among {n} rows, not {recall}: no links are returned rather than some")
+        k, self.window, self.recall = chosen
         self.passes = self.passes[:k]
 
     @staticmethod
@@ -143,13 +145,15 @@ class Passes:
         return threshold * own + math.sqrt(max(0.0, 1 - threshold * threshold)) * way
 
 
-def window_pairs(x: np.ndarray, v: np.ndarray, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows in order: a forest of the pairs at most `window` places apart with cosine >= threshold."""
+def window_pairs(x: np.ndarray, v: np.ndarray, window: int, threshold: float, new: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order: a forest of the pairs at most `window` places apart with cosine >= threshold, the later of which is at `new` or behind."""
     a = b = v[:0]
     step = max(64, min(512, window))
     for at in range(0, len(x), step):
-        some, other = x[at : at + step], x[at : at + step + window]
+        skip = max(0, new - at)
+        some, other = x[at : at + step], x[at + skip : at + step + window]
         p, q = np.nonzero(some @ other.T >= threshold)
+        q += skip
         near = (q > p) & (q - p <= window)
         if near.any():
             a, b = local_roots(np.concatenate([a, v[at + p[near]]]), np.concatenate([b, v[at + q[near]]]))
@@ -237,11 +241,27 @@ def _send(passes: dict[int, list[Pass]]):
 
 
 def _compare(windows: dict[int, int], threshold: float):
-    def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        order = np.argsort(t["key"].to_numpy(), kind="stable")
-        a, b = window_pairs(unit(t["vector"].combine_chunks())[order], t["v"].to_numpy()[order], windows[t["dims"][0].as_py()], threshold)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    """Rows come sorted by (dims, pass, range, key), all of a range in one task: what is held of a range is its last window of rows, however long it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, x, v = None, np.empty((0, 0)), np.empty(0, np.int64)
+        for batch in batches:
+            by = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            cuts = np.flatnonzero((by[:, 1:] != by[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                if lo == hi:
+                    continue
+                part, now = batch.slice(lo, hi - lo), tuple(by[:, lo].tolist())
+                more, ids = unit(part.column(4)), part.column(3).to_numpy()
+                if now != group:
+                    group, x, v = now, more[:0], ids[:0]
+                held = len(x)
+                x, v = np.concatenate([x, more]), np.concatenate([v, ids])
+                window = windows[now[0]]
+                a, b = window_pairs(x, v, window, threshold, held)
+                x, v = x[-window:].copy(), v[-window:]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -258,7 +278,8 @@ def window_edges(distinct: DataFrame, threshold: float, recall: float, seed: int
 
         sent = distinct.select("v", "vector").mapInArrow(tidy(_send({d: passes for d, (_, passes) in some.items()})), f"dims int, pass int, range int, key long, v long, vector {kind}")
         by = ["dims", "pass", "range"]
-        found = materialise(sent.repartition(max(2, groups), *by).groupBy(*by).applyInArrow(_compare({d: w for d, (w, _) in some.items()}, threshold), "a long, b long"), "window-edges")
+        ordered = sent.repartition(max(2, groups), *by).sortWithinPartitions(*by, "key").select(*by, "v", "vector")
+        found = materialise(ordered.mapInArrow(tidy(_compare({d: w for d, (w, _) in some.items()}, threshold)), "a long, b long"), "window-edges")
         edges = found if edges is None else edges.union(found)
     # An edge joins vectors of one component; that they are linked directly is only true of the path between them.
     return distinct.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0) if edges is None else edges
