@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from juristream.functions import arrow
 from juristream.functions import text as T
+from juristream.operators.lineage import cut
 
 # Markers of denial and of matters that the law leaves open, with and without accents.
 DENIALS = ("khong dung", "không đúng", "khong phai", "không phải", "trai voi", "trái với", "mau thuan", "mâu thuẫn", "sai voi", "sai với")
@@ -116,19 +116,40 @@ class Founders:
         self.words.append(own)
 
 
-def cluster_claims(claims: DataFrame, *, prefix: str = "misconception") -> DataFrame:
+GROUP = ["topic", "legal_anchor_id", "signature"]
+
+
+def cluster_claims(claims: DataFrame, *, prefix: str = "misconception", batch: int = 8192, most: int = 65_536) -> DataFrame:
     """Claims (ykien_id, topic, legal_anchor_id, claim_text, created_at, nli_label, nli_score) that contradict with confidence, in clusters.
 
     In order of (created_at, ykien_id) a claim joins the cluster of the same topic, anchor, numbers and negations whose first claim is most similar,
-    from 0.84 on, the earlier one in a tie; else it founds one. Equal claims are decided once. A group of these four is walked in order, as
-    each claim depends on the ones before; only its founders are held. Returns ykien_id, misconception_id (a UUID named prefix:topic:anchor:claim of the first claim), similarity, created.
+    from 0.84 on, the earlier one in a tie; else it founds one. Equal claims are decided once. Groups of these four with at most `batch` claims are walked in
+    order; larger ones are decided in rounds (_in_rounds), which gives the same. Returns ykien_id, misconception_id (a UUID named
+    prefix:topic:anchor:claim of the first claim), similarity, created.
     """
     kept = claims.where((F.col("nli_label") == "mau_thuan") & (F.col("nli_score") >= CONFIDENT))
     named = kept.withColumn("normalized", arrow.normalized_claim_nfkc(F.col("claim_text")))
     marks = T.claim_signatures(F.col("normalized"))
     named = named.withColumn("signature", F.concat_ws("|", F.array_join(marks["numbers"], " "), F.array_join(marks["negations"], " ")))
-    keys = ["topic", "legal_anchor_id", "signature", "normalized"]
-    distinct = named.groupBy(*keys).agg(F.min(F.struct("created_at", "ykien_id")).alias("first"))
+    # Null topics and anchors are groups too: they are named, so that joins find them.
+    named = cut(named.select("ykien_id", "created_at", "normalized", F.coalesce("topic", F.lit("None")).alias("topic"), F.coalesce("legal_anchor_id", F.lit("None")).alias("legal_anchor_id"), "signature"))
+    keys = [*GROUP, "normalized"]
+    distinct = cut(named.groupBy(*keys).agg(F.min(F.struct("created_at", "ykien_id")).alias("first")))
+    large = cut(distinct.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > batch).select(*GROUP))
+    n = large.count()
+    if n:
+        near = F.broadcast(large) if n <= 100_000 else large
+        assigned = _walked(distinct.join(near, GROUP, "left_anti")).unionByName(_in_rounds(distinct.join(near, GROUP, "left_semi"), batch, most))
+    else:
+        assigned = _walked(distinct)
+    rows = named.join(assigned, keys).join(distinct, keys)
+    founder = (F.col("first.ykien_id") == F.col("ykien_id")) & (F.col("similarity") == 1.0)
+    name = T.uuid5(F.concat(F.lit(prefix + ":"), "topic", F.lit(":"), "legal_anchor_id", F.lit(":"), "founder"))
+    return rows.select("ykien_id", name.alias("misconception_id"), "similarity", founder.alias("created"))
+
+
+def _walked(distinct: DataFrame) -> DataFrame:
+    """GROUP, normalized, founder, similarity: each group's claims in order of `first`. Sorted partitions stream through: a task holds one group's founders."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, founders = None, Founders()
@@ -138,16 +159,57 @@ def cluster_claims(claims: DataFrame, *, prefix: str = "misconception") -> DataF
                 if key != now:
                     now, founders = key, Founders()
                 found.append(founders.place(text))
-            ids = [str(uuid.uuid5(uuid.NAMESPACE_URL, f"{prefix}:{t}:{a}:{n}")) for t, a, (n, _) in zip(pdf["topic"], pdf["legal_anchor_id"], found, strict=True)]
-            yield pdf[keys].assign(misconception_id=ids, similarity=[v for _, v in found])
+            yield pdf.assign(founder=[f for f, _ in found], similarity=[v for _, v in found])
 
-    # Sorted partitions stream through: a task holds the founders of one group, not its claims.
-    group = ["topic", "legal_anchor_id", "signature"]
-    ordered = distinct.select(*keys, "first.created_at", "first.ykien_id").repartition(*group).sortWithinPartitions(*group, "created_at", "ykien_id").select(*keys)
-    assigned = ordered.mapInPandas(assign, "topic string, legal_anchor_id string, signature string, normalized string, misconception_id string, similarity double")
-    rows = named.join(assigned, keys).join(distinct, keys)
-    founder = (F.col("first.ykien_id") == F.col("ykien_id")) & (F.col("similarity") == 1.0)
-    return rows.select("ykien_id", "misconception_id", "similarity", founder.alias("created"))
+    ordered = distinct.select(*GROUP, "normalized", "first").repartition(*GROUP).sortWithinPartitions(*GROUP, "first").select(*GROUP, "normalized")
+    return ordered.mapInPandas(assign, "topic string, legal_anchor_id string, signature string, normalized string, founder string, similarity double")
+
+
+def _in_rounds(distinct: DataFrame, batch: int, most: int) -> DataFrame:
+    """What _walked() gives, for groups of any size.
+
+    A round takes each group's earliest undecided claims. None of them is similar to a founder so far, so walking them alone tells which of them found
+    clusters. The other undecided claims that are similar to a new founder will join some cluster and leave; the rest is the next round's. At the end
+    members are compared with the founders before them. Both comparisons are a similarity join under rare words: pairs are of a claim and a founder,
+    never of two members.
+    """
+    keys = [*GROUP, "normalized"]
+    words = F.filter(F.array_distinct(F.split("normalized", " ")), lambda w: w != "")
+    each = distinct.select(*keys, "first", F.explode_outer(words).alias("word"))
+    weights = each.groupBy(*GROUP, "word").agg(F.count("*").alias("df"))
+    sorted_ = each.join(weights, [*GROUP, "word"], "left").groupBy(*keys).agg(F.any_value("first").alias("first"), F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("df", "word")))), lambda x: x["word"]).alias("words"))
+    rows = cut(sorted_)
+    undecided, founders, size = rows, None, batch
+    while undecided.limit(1).count():
+        order = Window.partitionBy(*GROUP).orderBy("first")
+        now = cut(undecided.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size).drop("_n"))
+        new = cut(now.join(_walked(now).where("founder = normalized").select(*keys), keys, "left_semi"))
+        founders = new if founders is None else founders.unionByName(new)
+        left = undecided.join(now.select(*keys), keys, "left_anti")
+        undecided = cut(left.join(_similar(left, new).select(*keys), keys, "left_anti"))
+        size = min(most, 2 * size)
+    founded = founders.select(*keys, F.col("normalized").alias("founder"), F.lit(1.0).alias("similarity"))
+    members = rows.join(founders.select(*keys), keys, "left_anti")
+    best = _similar(members, founders).groupBy(*keys).agg(F.min_by("founder", F.struct(-F.col("similarity"), "before")).alias("founder"), F.max("similarity").alias("similarity"))
+    return founded.unionByName(best)
+
+
+def _similar(claims: DataFrame, founders: DataFrame) -> DataFrame:
+    """GROUP, normalized, founder, similarity, before (its place in the order) of claims with founders before them in their group, from CLUSTER on.
+
+    A claim of n words shares at least `need` of them with any text so similar (see Founders), so the two meet at one of their n - need + 1 rarest. The pair is
+    formed at the first such word alone, and compared by character only if words and lengths allow the similarity."""
+    f1 = (CLUSTER - 0.3) / 0.7
+    rare = lambda d: d.withColumn("_rare", F.slice("words", 1, F.size("words") - F.ceil(f1 * F.size("words") / (2 - f1) - 1e-9).cast("int") + 1))
+    a = rare(claims.where("size(words) > 0")).select(*GROUP, "normalized", "first", "words", "_rare", F.explode("_rare").alias("_word"))
+    b = rare(founders.where("size(words) > 0")).select(*GROUP, F.col("normalized").alias("founder"), F.col("first").alias("_first"), F.col("words").alias("_words"), F.col("_rare").alias("_other"), F.explode("_rare").alias("_word"))
+    b = F.broadcast(b) if b.limit(200_001).count() <= 200_000 else b
+    met = a.join(b, [*GROUP, "_word"]).where((F.col("_first") < F.col("first")) & (F.element_at(F.array_intersect("_rare", "_other"), 1) == F.col("_word")))
+    share = 2 * F.size(F.array_intersect("words", "_words")) / (F.size("words") + F.size("_words"))
+    long = 2 * F.least(F.length("normalized"), F.length("founder")) / (F.length("normalized") + F.length("founder"))
+    likely = met.where(0.7 * share + 0.3 * long >= CLUSTER - 1e-6)
+    scored = likely.select(*GROUP, "normalized", "founder", arrow.claim_similarity(F.col("normalized"), F.col("founder")).alias("similarity"), F.col("_first").alias("before"))
+    return scored.where(F.col("similarity") >= CLUSTER)
 
 
 def verdict(hist: Column, curr: Column) -> Column:

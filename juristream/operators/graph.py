@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from juristream.operators.cycles import reachable_from, strong_components
 from juristream.operators.lineage import cut
 
 
@@ -67,7 +68,7 @@ def chains(edges: DataFrame, most_hops: int = 10) -> DataFrame:
 
 
 def reachable(edges: DataFrame) -> DataFrame:
-    """src, dst: pairs joined by a directed path, however long: as many rows as there are such pairs.
+    """src, dst: pairs joined by a directed path, however long: as many rows as there are such pairs (cycles.reachable_from() takes stated seeds).
 
     Each round doubles the reach; the first without a new pair is the last.
     """
@@ -81,38 +82,25 @@ def reachable(edges: DataFrame) -> DataFrame:
             return pairs
 
 
-def trimmed(edges: DataFrame, peels: int = 2) -> DataFrame:
-    """The edges that lie on cycles or between them: nodes without an edge in or out are peeled off until none is left.
-
-    `peels` layers at both ends go between two cuts.
-    """
-    core = cut(edges.select("src", "dst").distinct())
-    n = core.count()
-    while n:
-        inner = core
-        for _ in range(peels):
-            inner = inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(inner.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
-        core = cut(inner)
-        before, n = n, core.count()
-        if n == before:
-            break
-    return core
-
-
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes from which a directed path leads back: paths are only followed in what trimmed() leaves, nothing where there is no cycle."""
-    return reachable(trimmed(edges)).where("src = dst").select(F.col("src").alias("node"))
+    """Nodes from which a directed path leads back: those of strong components, and nodes with a loop."""
+    return strong_components(edges).select("node")
 
 
 def would_close_cycle(edges: DataFrame, new: DataFrame) -> DataFrame:
     """New edges (src, dst) whose end already leads to their start, or that are loops.
 
-    With the new edges in place such a path lies on a cycle, so paths are only followed in what trimmed() leaves of both.
+    With the new edges in place both ends of such an edge are in one strong component, so paths are only followed inside these, and there only from the
+    ends of new edges, with chains between them as one step.
     """
     asked = cut(new.select("src", "dst").distinct())
-    around = trimmed(edges.select("src", "dst").union(asked))
-    back = reachable(around.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_semi"))
-    return asked.where("src = dst").union(asked.join(back.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")).distinct()
+    old = edges.select("src", "dst").distinct()
+    of = cut(strong_components(old.union(asked)))
+    ends = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    inside = lambda e: e.join(ends("src"), "src").join(ends("dst"), "dst").where("_src = _dst").select("src", "dst")
+    likely = cut(inside(asked.where("src <> dst")))
+    back = reachable_from(inside(old), likely.select(F.col("dst").alias("node")), likely.select(F.col("src").alias("node")))
+    return asked.where("src = dst").union(likely.join(back.select(F.col("node").alias("src"), F.col("origin").alias("dst")), ["src", "dst"], "left_semi")).distinct()
 
 
 def branching(edges: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from juristream.functions import dialogue as D
 from juristream.functions import text as T
+from juristream.operators import vectorlists
 from juristream.operators.lineage import cut
 
 # The order of sources, the constant of the fusion, and the scores of exact hits.
@@ -104,31 +105,47 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == F.size(y)) & (norm > 0), dot / norm)
 
 
-def vector_top_k(points: DataFrame, queries: DataFrame, *, key: str, vector: str, limit: int, query_rows: int = 4096, point_rows: int = 8192) -> DataFrame:
-    """query_id, key, score, position: each query's (query_id, vector) nearest points by cosine, among all of them.
+def vector_top_k(points: DataFrame, queries: DataFrame, *, key: str, vector: str, limit: int, same: str | None = None, query_rows: int = 4096, point_rows: int = 8192) -> DataFrame:
+    """query_id, key, score, position: each query's (query_id, vector) nearest points by cosine, among all of them; among those that agree in the column
+    `same`, if it is named (nulls agree with none).
 
-    Queries and points are dealt by hash into blocks, all pairs of which are groups of bounded size; a group gives `limit` rows a query at most.
+    Points lie in lists around centres; a query meets those lists that may hold a hit, in blocks of bounded size (vectorlists).
     """
-    asked = queries.select("query_id", F.col("vector").alias("_q"))
-    every = points.select(F.col(key).alias("key"), F.col(vector).alias("_v"))
-    return ranked(_scored_in_blocks(every, asked, limit, query_rows, point_rows), ["query_id"], [F.desc("score"), F.col("key")], limit)
+    none = F.lit(None).cast("string")
+    asked = queries.select("query_id", F.col("vector").alias("_q"), (F.col(same).cast("string") if same else none).alias("same"))
+    every = points.select(F.col(key).alias("key"), F.col(vector).alias("_v"), (F.col(same).cast("string") if same else none).alias("same"))
+    if same:
+        asked, every = asked.where("same IS NOT NULL"), every.where("same IS NOT NULL")
+    return ranked(_scored(every, asked, limit, query_rows, point_rows), ["query_id"], [F.desc("score"), F.col("key")], limit)
 
 
-def _scored_in_blocks(points: DataFrame, queries: DataFrame, limit: int, query_rows: int, point_rows: int) -> DataFrame:
-    """query_id, key, score: of each pair of blocks the best `limit` points for each query row, scored as cosine() does."""
+def _scored(points: DataFrame, queries: DataFrame, limit: int, query_rows: int, point_rows: int) -> DataFrame:
+    """query_id, key, score: of each list and block the best `limit` points for each query row, scored as cosine() does."""
 
     def whole(df: DataFrame, v: str) -> DataFrame:
         df = df.withColumn("vector", F.col(v).cast("array<double>")).drop(v)
         return df.where((F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull())).withColumn("dims", F.size("vector"))
 
     p, q = whole(points, "_v"), whole(queries, "_q")
+    compare = lambda a, b, by: _scored_in_blocks(b, a, by, limit)
+    found = vectorlists.search(p, q, limit, compare, query_rows=query_rows, point_rows=point_rows)
+    if found is not None:
+        return found
+    # Too many values of the filter for lists: rows of one value meet, in blocks of hashes.
     q_blocks, p_blocks = -(-q.count() // query_rows) or 1, -(-p.count() // point_rows) or 1
     deal = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     copies = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    types = {c: df.schema[c].dataType for df, c in ((p, "key"), (q, "query_id"))}
+    q = q.select("query_id", "vector", "dims", "same", deal("query_id", q_blocks).alias("qb"), copies(p_blocks).alias("pb"))
+    p = p.select("key", "vector", "dims", "same", copies(q_blocks).alias("qb"), deal("key", p_blocks).alias("pb"))
+    return _scored_in_blocks(p, q, ["dims", "same", "qb", "pb"], limit)
+
+
+def _scored_in_blocks(points: DataFrame, queries: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """query_id, key, score of queries and points (vector, and the columns `by`, in which they agree)."""
+    types = {c: df.schema[c].dataType for df, c in ((points, "key"), (queries, "query_id"))}
     none = lambda c: F.lit(None).cast(types[c]).alias(c)
-    left = q.select("query_id", none("key"), "vector", "dims", F.lit(True).alias("asks"), deal("query_id", q_blocks).alias("qb"), copies(p_blocks).alias("pb"))
-    right = p.select(none("query_id"), "key", "vector", "dims", F.lit(False).alias("asks"), copies(q_blocks).alias("qb"), deal("key", p_blocks).alias("pb"))
+    left = queries.select("query_id", none("key"), "vector", F.lit(True).alias("asks"), *by)
+    right = points.select(none("query_id"), "key", "vector", F.lit(False).alias("asks"), *by)
 
     def in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Sums of products over the last axis from first to last, as cosine() adds them."""
@@ -167,7 +184,7 @@ def _scored_in_blocks(points: DataFrame, queries: DataFrame, limit: int, query_r
         return pa.table({"query_id": t["query_id"].take(pa.array(np.concatenate(rows))), "key": t["key"].take(pa.array(np.concatenate(found))), "score": pa.array(np.concatenate(scores))})
 
     out = f"query_id {types['query_id'].simpleString()}, key {types['key'].simpleString()}, score double"
-    return left.unionByName(right).groupBy("dims", "qb", "pb").applyInArrow(block, out)
+    return left.unionByName(right).groupBy(*by).applyInArrow(block, out)
 
 
 def bad_vectors(points: DataFrame, vector: str, dims: int) -> DataFrame:
@@ -218,10 +235,7 @@ def link_entities(points: DataFrame, targets: DataFrame, *, threshold: float = 0
     """query_id, key, score, position: nearest targets (key, vector, topic) of the point's topic, or of all if that topic has none."""
     same = points.join(targets.select("topic").distinct(), "topic", "left_semi")
     rest = points.join(targets.select("topic").distinct(), "topic", "left_anti")
-    t = targets.select("key", F.col("vector").alias("_v"), "topic")
-    local = same.select("query_id", "topic", F.col("vector").alias("_q")).join(t, "topic")
-    local = local.select("query_id", "key", cosine(F.col("_v"), F.col("_q")).alias("score")).where("score IS NOT NULL")
-    local = ranked(local, ["query_id"], [F.desc("score"), F.col("key")], limit)
+    local = vector_top_k(targets, same.select("query_id", "vector", "topic"), key="key", vector="vector", limit=limit, same="topic")
     wide = vector_top_k(targets, rest.select("query_id", "vector"), key="key", vector="vector", limit=limit)
     return local.unionByName(wide.select(local.columns)).where(F.col("score") >= threshold)
 

@@ -1,20 +1,23 @@
 """Event-time operators that mean the same on a table and on a stream.
 
 tumbling() and sliding() take either; on a stream they carry a watermark of look-back plus cool-down, which is how late data are
-treated. Cool-down streams through sorted partitions of a table, and is a function
+treated. Cool-down streams through sorted partitions of a table, where keys with very many events are spread by time, and is a function
 of keyed state on a stream; state times out, so it doesn't grow with the stream's age.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from juristream.operators.lineage import cut
+
 LOOK_BACK = "1 hour"
 LATE = "2 hours"
 
@@ -56,16 +59,35 @@ def _fires(times: pd.Series, last: pd.Timestamp | None, pause: pd.Timedelta) ->
     return keep, last
 
 
-def cooldown(events: DataFrame, keys: list[str], *, hours: int) -> DataFrame:
+def cooldown(events: DataFrame, keys: list[str], *, hours: int, hot_rows: int = 5_000_000, piece_rows: int = 1_000_000) -> DataFrame:
     """The events that fire: a key is silent for so many hours after it fired. Equal times fire in order of event_id.
 
-    On a table, sorted partitions stream through: a task holds a key's last firing, whatever the number of its events.
+    On a table, sorted partitions stream through: a task holds a key's last firing. Keys of more than `hot_rows` moments are spread over tasks by pieces of
+    their time instead (spread_cooldown), with the same result.
     """
     if events.isStreaming:
         return _cooldown_stream(events, keys, hours)
-    pause = hours * 3_600_000_000
+    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = events.select(*keys, "event_id", at.alias("_at")).repartition(*keys).sortWithinPartitions(*keys, "_at", "event_id")
+    # Of a key's events at one moment only the first can fire, so no moment is hot either.
+    moments = events.where("ts IS NOT NULL").groupBy(*keys, at.alias("_at")).agg(F.min("event_id").alias("event_id"))
+    sizes = moments.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    hot = cut(sizes)
+    n_hot = hot.count()
+    if not n_hot:
+        return _streamed_cooldown(moments, keys, hours, types)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
+    named = hot.select("_n", *[F.col(k).alias(f"_h_{k}") for k in keys], F.row_number().over(Window.orderBy(*keys)).alias("_key"))
+    named = F.broadcast(named) if n_hot <= 100_000 else named
+    rest = moments.join(named, same, "left_anti")
+    spread = spread_cooldown(cut(moments.join(named, same).select("_key", "_at", "event_id", "_n")), hours * 3_600_000_000, piece_rows)
+    back = spread.join(named, "_key").select(*[F.col(f"_h_{k}").alias(k) for k in keys], "event_id")
+    return _streamed_cooldown(rest, keys, hours, types).unionByName(back)
+
+
+def _streamed_cooldown(moments: DataFrame, keys: list[str], hours: int, types: dict[str, str]) -> DataFrame:
+    pause = hours * 3_600_000_000
+    rows = moments.repartition(*keys).sortWithinPartitions(*keys, "_at").select(*keys, "event_id", "_at")
 
     def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = None, None
@@ -74,15 +96,58 @@ def cooldown(events: DataFrame, keys: list[str], *, hours: int) -> DataFrame:
             for *key, t in zip(*(batch.column(i).to_pylist() for i in (*range(len(keys)), len(keys) + 1)), strict=True):
                 if key != now:
                     now, last = key, None
-                fires.append(t is not None and (last is None or t >= last + pause))
+                fires.append(last is None or t >= last + pause)
                 if fires[-1]:
                     last = t
             yield batch.filter(pa.array(fires, pa.bool_())).select([*keys, "event_id"])
 
-    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     return rows.mapInArrow(fire, ", ".join(f"`{c}` {types[c]}" for c in (*keys, "event_id")))
 
 
+def pieces(moments: DataFrame, piece_rows: int) -> DataFrame:
+    """_key, _bounds: the times at which each key's moments (_key, _at, _n rows of it) are cut into pieces of about so many rows."""
+    most = moments.agg(F.max("_n")).first()[0] or 1
+    many = max(1, -(-most // piece_rows))
+    shares = [(i + 1) / many for i in range(many - 1)]
+    bounds = F.percentile_approx("_at", shares, 100 * many) if shares else F.array().cast("array<bigint>")
+    return moments.groupBy("_key").agg(F.array_sort(F.array_distinct(bounds)).alias("_bounds"))
+
+
+def following(moments: DataFrame, pause: int, piece_rows: int) -> DataFrame:
+    """_key, _at, _next: the key's first moment at least a pause later, or null.
+
+    An as-of join by pieces of time: moments and the times to look from lie in one sorted piece; where it has nothing later, the first moment
+    of the next piece that has any is taken. A piece is a task's, a key isn't."""
+    cuts = cut(pieces(moments, piece_rows))
+    piece = lambda t: F.size(F.filter("_bounds", lambda x: x <= t))
+    near = F.broadcast(cuts)  # a row of bounds for each hot key
+    rows = moments.select("_key", "_at").join(near, "_key")
+    own = rows.select("_key", piece(F.col("_at")).alias("_p"), F.col("_at").alias("_t"), F.lit(True).alias("_is"), F.lit(None).cast("long").alias("_from"))
+    looks = rows.select("_key", piece(F.col("_at") + pause).alias("_p"), (F.col("_at") + pause).alias("_t"), F.lit(False).alias("_is"), F.col("_at").alias("_from"))
+    # From the latest on; at one time a moment comes before those that look from there.
+    w = Window.partitionBy("_key", "_p").orderBy(F.desc("_t"), F.desc("_is")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = own.unionByName(looks).withColumn("_next", F.last(F.when(F.col("_is"), F.col("_t")), ignorenulls=True).over(w)).where("NOT _is")
+    firsts = own.groupBy("_key", "_p").agg(F.min("_t").alias("_first"))
+    every = cuts.select("_key", F.explode(F.sequence(F.lit(0), F.size("_bounds"))).alias("_p")).join(firsts, ["_key", "_p"], "left")
+    after = every.withColumn("_later", F.min("_first").over(Window.partitionBy("_key").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)))
+    return seen.join(F.broadcast(after.select("_key", "_p", "_later")), ["_key", "_p"]).select("_key", F.col("_from").alias("_at"), F.coalesce("_next", "_later").alias("_next"))
+
+
+def spread_cooldown(moments: DataFrame, pause: int, piece_rows: int) -> DataFrame:
+    """_key, event_id of the moments (_key, _at, event_id, _n; times once a key) that fire: those that the first leads to, each the first at least a pause
+    after the one before. Pointers are doubled, so n firings take log2(n) rounds, and each round is spread by moment."""
+    jump = cut(following(moments, pause, piece_rows).where("_next IS NOT NULL"))
+    fired = cut(moments.groupBy("_key").agg(F.min("_at").alias("_at")))
+    n = fired.count()
+    while True:
+        more = fired.join(jump, ["_key", "_at"]).select("_key", F.col("_next").alias("_at"))
+        fired = cut(fired.union(more).distinct())
+        before, n = n, fired.count()
+        if n == before:
+            return moments.join(fired, ["_key", "_at"], "left_semi").select("_key", "event_id")
+        jump = cut(jump.join(jump.select("_key", F.col("_at").alias("_next"), F.col("_next").alias("_far")), ["_key", "_next"]).select("_key", "_at", F.col("_far").alias("_next")))
+
+
 def _cooldown_stream(events: DataFrame, keys: list[str], hours: int) -> DataFrame:
     pause = pd.Timedelta(hours=hours)
     types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
