@@ -79,12 +79,12 @@ def text_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @found.add(r"""
-SELECT doc_id, contains(lower(text), 'the') OR contains(lower(text), 'der') AS any_of, regexp_matches(regexp_replace(lower(text), '[^\x00-\x7F]', '', 'g'), '(^|[^a-z0-9])thing([^a-z0-9]|$)') AS word, lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) AS slug FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')
+SELECT doc_id, contains(lower(text), 'the') OR contains(lower(text), 'der') AS any_of, regexp_matches(lower(text), '(^|[^a-z0-9])thing([^a-z0-9]|$)') AS word, lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) AS slug FROM documents
 """)
 def text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms anywhere, and a term as a word, in texts of ASCII letters."""
-    rows = table(spark, sf_dir, "documents").where(F.regexp_like("text", F.lit(r"^[\x00-\x7F]*\z")))
-    return rows.select("doc_id", T.contains_any(F.col("text"), ("the", "DER")).alias("any_of"), T.contains_term(T.plain_lower(F.col("text")), F.lit("thing")).alias("word"), F.lower(T.canonical(F.col("source"))).alias("slug"))
+    """Terms anywhere, and a term as a word, in every document."""
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", T.contains_any(F.col("text"), ("the", "DER")).alias("any_of"), T.contains_term(F.lower("text"), F.lit("thing")).alias("word"), F.lower(T.canonical(F.col("source"))).alias("slug"))
 
 
 @found.add("""
@@ -99,14 +99,24 @@ def text_event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", plain("a").alias("news"), plain("b").alias("iso"), plain("c").alias("day"), plain("d").alias("rfc"), T.event_time(F.concat(F.lit("x"), F.col("a"))).cast("timestamp_ntz").alias("odd"))
 
 
-@found.add(r"""
-SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(translate(text, chr(9), ' '), ' +', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS clean FROM conversations WHERE NOT regexp_matches(text, '[\r\x{200B}-\x{200F}\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}|]|(^|\n)[\s+\-=_]{3,}($|\n)')
+def _cleaned(text: str) -> str:
+    """What cleaning does, step by step, in SQL."""
+    steps = (
+        (r"\r\n?", "chr(10)"), (r"[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}]", "''"), (r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}]", "''"), (r"[\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]", "' '"),
+        (r"(?m)^[\s|+\-=_]{3,}$", "''"), (r"[ \t]+", "' '"), (r" ?\n ?", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''"),
+    )
+    for pattern, to in steps:
+        text = f"regexp_replace({text}, '{pattern}', {to}, 'g')"
+    return text
+
+
+@found.add(f"""
+SELECT conv_id, turn, {_cleaned("chr(65279) || replace(text, ' ', chr(7) || ' ' || chr(8203) || ' ')")} AS clean FROM conversations
 """)
 def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with control and invisible characters and table rules put in, cleaned again."""
-    odd = r"[\r\x{200B}-\x{200F}\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}|]|(^|\n)[\s+\-=_]{3,}($|\n)"
-    rows = table(spark, sf_dir, "conversations").where(~F.regexp_like("text", F.lit(odd)))
-    return rows.select("conv_id", "turn", F.trim(T.clean_text(F.concat(F.lit("﻿"), F.replace(F.col("text"), F.lit(" "), F.lit("\x07 ​ "))))).alias("clean"))
+    """Every turn with control and invisible characters put in, cleaned."""
+    dirty = F.concat(F.lit("\ufeff"), F.replace(F.col("text"), F.lit(" "), F.lit("\x07 \u200b ")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_text(dirty).alias("clean"))
 
 
 @found.add("""
