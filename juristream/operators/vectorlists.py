@@ -100,7 +100,6 @@ def search(points: DataFrame, queries: DataFrame, limit: int, compare: Callable[
 
     compare(queries, points, by) scores all pairs that agree in the columns `by`, and gives each query's `limit` best of each. None: there are more lists
     by filter than MOST_LISTS."""
-    points = cut(points)
     lists = Lists(draw_centres(points))
     types = {c: points.schema[c].dataType.simpleString() for c in ("key",)} | {"query_id": queries.schema["query_id"].dataType.simpleString()}
 
@@ -111,11 +110,12 @@ def search(points: DataFrame, queries: DataFrame, limit: int, compare: Callable[
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(number), pa.array(far)], names=["key", "vector", "dims", "same", "list", "far"])
 
     placed = cut(points.select("key", "vector", "dims", "same").mapInArrow(place, f"key {types['key']}, vector array<double>, dims int, same string, list int, far double"))
-    measured = cut(placed.groupBy("dims", "same", "list").agg(F.count("*").alias("n"), F.max("far").alias("radius")))
-    if measured.count() > MOST_LISTS:
+    measured = placed.groupBy("dims", "same", "list").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    rows = measured.limit(MOST_LISTS + 1).collect()
+    if len(rows) > MOST_LISTS:
         return None
     found: dict[tuple, list] = {}
-    for d, same, number, n, radius in measured.collect():  # MOST_LISTS rows at most
+    for d, same, number, n, radius in rows:
         found.setdefault((d, same), []).append((number, n, radius))
     lists.measures = {k: (np.array([x[0] for x in v], np.int32), np.array([x[1] for x in v], np.int64), np.array([x[2] for x in v])) for k, v in found.items()}
 
@@ -138,13 +138,13 @@ def search(points: DataFrame, queries: DataFrame, limit: int, compare: Callable[
     def compared(asked: DataFrame, second: bool) -> DataFrame:
         dealt = asked.select("query_id", "vector", "dims", "same", "least").mapInArrow(deal(second), f"query_id {types['query_id']}, vector array<double>, dims int, same string, list int")
         dealt = cut(dealt)
-        need = cut(dealt.groupBy(*group).agg(F.ceil(F.count("*") / query_rows).cast("int").alias("qbs")))  # a row a list at most
+        need = dealt.groupBy(*group).agg(F.ceil(F.count("*") / query_rows).cast("int").alias("qbs"))  # a row a list at most
         a, b = dealt.alias("a"), placed.select("key", "vector", *group).alias("b")
         q = a.join(F.broadcast(need).alias("n"), on("a", "n")).join(small.alias("s"), on("a", "s")).select("query_id", "a.vector", *[f"a.{c}" for c in group], F.pmod(F.xxhash64("query_id"), F.col("qbs")).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("pbs") - 1)).alias("pb"))
         p = b.join(F.broadcast(need).alias("n"), on("b", "n")).join(small.alias("s"), on("b", "s")).select("key", "b.vector", *[f"b.{c}" for c in group], F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)).alias("qb"), F.pmod(F.xxhash64("key"), F.col("pbs")).cast("int").alias("pb"))
         return compare(q, p, [*group, "qb", "pb"])
 
-    asked = cut(queries.withColumn("least", F.lit(None).cast("double")))
+    asked = queries.withColumn("least", F.lit(None).cast("double"))
     one = cut(compared(asked, False))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"))
     last = one.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == limit).select("query_id", F.col("score").alias("least"))
