@@ -31,7 +31,7 @@ def test_components(spark):
     rng = random.Random(4)
     chain, ring = [(i, i + 1) for i in range(40)], [(i, (i + 1) % 40) for i in range(40)] + [(100, 3), (7, 200), (200, 201)]
     small = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4), (6, 7), (7, 8), (8, 7), (9, 9), (20, 21), (21, 20), (1, 2)]
-    random_ones = [[(rng.randrange(n), rng.randrange(n)) for _ in range(m)] for n, m in ((12, 16), (30, 36), (40, 50), (15, 50))]
+    random_ones = [[(rng.randrange(n), rng.randrange(n)) for _ in range(m)] for n, m in ((12, 16), (9, 20))]
     edges = [(f"{k}-{a}", f"{k}-{b}") for k, one in enumerate([[("a", "a"), ("a", "b"), ("b", "c")], chain, ring, small, *random_ones]) for a, b in one]
     got = {}
     for node, component in cycles.strong_components(spark.createDataFrame(edges, "src string, dst string")).collect():
@@ -42,7 +42,7 @@ def test_components(spark):
 
 def test_guard(spark):
     rng = random.Random(6)
-    for n, m in ((20, 26),):
+    for n, m in ((10, 13),):
         old = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
         new = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
         to = reach(old)
