@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -64,41 +65,57 @@ def term_set(text: Column) -> Column:
     return F.filter(F.array(*map(F.lit, LEGAL_TERMS)), lambda t: F.contains(body, t))
 
 
+#: What a score looks at, of a version.
+SEEN = ("logical_vb_id", "article", "clause", "point", "lineage_id", "level", "text", "effective_from", "explicit")
+
+
+def _kinds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Versions that agree in all that a score looks at are of one kind: the kinds (kind, SEEN, numbers, legal terms), and kind, provision_id."""
+    kinds = cut(rows.select(*SEEN).distinct().withColumn("kind", F.monotonically_increasing_id()))
+    same = reduce(Column.__and__, [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in SEEN])
+    members = rows.alias("r").join(kinds.alias("k"), same).select("k.kind", "r.provision_id")
+    return kinds.withColumn("numbers", T.number_set(F.col("text"))).withColumn("legal", term_set(F.col("text"))), members
+
+
 def score_pairs(old: DataFrame, new: DataFrame, references: DataFrame | None = None, *, least: float = LEAST) -> DataFrame:
     """Pairs of old and new versions of one document with their scores, from `least` on.
 
     Without an explicit reference a pair only gets there if its articles are equal, so pairs are formed by document and article; versions
-    that an instruction names also meet the rest of their document. The costly word comparison runs only on pairs that can still
-    reach `least` with a perfect one.
+    that an instruction names also meet the rest of their document. Versions that look alike are scored once: kinds of versions meet, and their
+    versions only join the pairs that count. The costly word comparison runs only on pairs that can still reach `least` with a perfect one.
     """
     if least <= 1 - WEIGHTS["explicit"] - WEIGHTS["coordinate"]:
         raise ValueError("below this score pairs of different articles would count too")
-    o, n = old.alias("o"), new.alias("n")
+    if references is None:
+        marked = old.withColumn("explicit", F.lit(0.0))
+    else:
+        ids = referenced(old, references).select("provision_id").distinct()
+        marked = old.join(ids.withColumn("explicit", F.lit(1.0)), "provision_id", "left").na.fill(0.0, ["explicit"])
+    (olds, of_old), (news, of_new) = _kinds(marked), _kinds(new.withColumn("explicit", F.lit(0.0)))
+    o, n = olds.alias("o"), news.alias("n")
     document = F.col("o.logical_vb_id") == F.col("n.logical_vb_id")
     article = F.col("o.article") == F.col("n.article")
     both = [F.struct("o.*").alias("o"), F.struct("n.*").alias("n")]
     pairs = o.join(n, document & article).select(*both)
-    if references is None:
-        pairs = pairs.withColumn("explicit", F.lit(0.0))
-    else:
-        ids = referenced(old, references).select("provision_id").distinct()
-        named = old.join(ids, "provision_id", "left_semi").alias("o")
-        pairs = pairs.union(named.join(n, document & ~article).select(*both))
-        marks = ids.select(F.col("provision_id").alias("_id"), F.lit(1.0).alias("explicit"))
-        pairs = pairs.join(marks, F.col("o.provision_id") == F.col("_id"), "left").drop("_id").na.fill(0.0, ["explicit"])
+    if references is not None:
+        pairs = pairs.union(olds.where("explicit = 1").alias("o").join(n, document & ~article).select(*both))
     pairs = pairs.select(
-        *[F.col(f"{s}.{c}").alias(f"{t}_{c}") for s, t in (("o", "old"), ("n", "new")) for c in ("provision_id", "text", "effective_from", "level")],
+        *[F.col(f"{s}.{c}").alias(f"{t}_{c}") for s, t in (("o", "old"), ("n", "new")) for c in ("kind", "text", "effective_from", "level")],
         F.col("o.logical_vb_id").alias("document"),
-        "explicit",
+        F.col("o.explicit").alias("explicit"),
         coordinate_score("o", "n").alias("coordinate"),
         (F.col("o.level") == F.col("n.level")).cast("double").alias("level"),
-        T.jaccard(T.number_set(F.col("o.text")), T.number_set(F.col("n.text"))).alias("numeric"),
-        T.jaccard(term_set(F.col("o.text")), term_set(F.col("n.text"))).alias("terms"),
+        T.jaccard(F.col("o.numbers"), F.col("n.numbers")).alias("numeric"),
+        T.jaccard(F.col("o.legal"), F.col("n.legal")).alias("terms"),
     )
     bare = sum(F.col(k) * w for k, w in WEIGHTS.items() if k != "lexical")
     near = pairs.where(bare + WEIGHTS["lexical"] >= least - 1e-6).withColumn("lexical", arrow.token_ratio(F.col("old_text"), F.col("new_text")))
     total = sum(F.col(k) * w for k, w in WEIGHTS.items())
-    return near.withColumn("score", F.least(F.lit(1.0), F.round(total, 6))).where(F.col("score") >= least)
+    scored = near.withColumn("score", F.least(F.lit(1.0), F.round(total, 6))).where(F.col("score") >= least)
+    for side, members in (("old", of_old), ("new", of_new)):
+        scored = scored.join(members.select(F.col("kind").alias(f"{side}_kind"), F.col("provision_id").alias(f"{side}_provision_id")), f"{side}_kind")
+    sides = [f"{t}_{c}" for t in ("old", "new") for c in ("provision_id", "text", "effective_from", "level")]
+    return scored.select(*sides, "document", "explicit", "coordinate", "level", "numeric", "terms", "lexical", "score")
 
 
 def referenced(old: DataFrame, references: DataFrame) -> DataFrame:
