@@ -25,6 +25,8 @@ from juristream.operators.lineage import cut
 
 #: Numbers that all centres of one length of vectors have together at most, and lists (by filter) whose measures are sent to every task.
 CENTRE_NUMBERS, MOST_LISTS = 1 << 20, 500_000
+#: Distances that a task holds at once, and numbers of vectors that it gives out at once: a row may go to thousands of lists.
+HELD, GIVEN = 1 << 20, 1 << 20
 #: What distances may differ by, for rounding.
 SLACK = 1e-6
 ODD = -1
@@ -51,10 +53,14 @@ class Lists:
 
     def nearest(self, dims: int, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each vector's list, and its distance from the centre."""
-        d = distances(units(vectors), self.centres[dims])
-        fit = np.isfinite(d).all(axis=1)
-        number = np.where(fit, np.where(np.isfinite(d), d, np.inf).argmin(axis=1), ODD)
-        return number.astype(np.int32), np.where(fit, d[np.arange(len(d)), np.maximum(number, 0)], 0.0)
+        numbers, fars, rows = [np.empty(0, np.int32)], [np.empty(0)], max(1, HELD // len(self.centres[dims]))
+        for at in range(0, len(vectors), rows):
+            d = distances(units(vectors[at : at + rows]), self.centres[dims])
+            fit = np.isfinite(d).all(axis=1)
+            number = np.where(fit, np.where(np.isfinite(d), d, np.inf).argmin(axis=1), ODD)
+            numbers.append(number.astype(np.int32))
+            fars.append(np.where(fit, d[np.arange(len(d)), np.maximum(number, 0)], 0.0))
+        return np.concatenate(numbers), np.concatenate(fars)
 
     def wanted(self, dims: int, same: str | None, vector: np.ndarray, limit: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
         """The lists that a query meets first, and those that it then has to meet if `least` is the score of its last hit (None: it has too few)."""
@@ -119,15 +125,21 @@ def search(points: DataFrame, queries: DataFrame, limit: int, compare: Callable[
         found.setdefault((d, same), []).append((number, n, radius))
     lists.measures = {k: (np.array([x[0] for x in v], np.int32), np.array([x[1] for x in v], np.int64), np.array([x[2] for x in v])) for k, v in found.items()}
 
+    def dealt_rows(part: pa.RecordBatch, to: list[np.ndarray], rows: int) -> Iterator[pa.RecordBatch]:
+        """Each row with each of its lists, at most so many at once."""
+        at, number = np.repeat(np.arange(len(to)), [len(t) for t in to]), np.concatenate([*to, np.empty(0, np.int32)])
+        for i in range(0, len(at), rows):
+            out = part.take(pa.array(at[i : i + rows]))
+            yield pa.RecordBatch.from_arrays([*out.columns[:4], pa.array(number[i : i + rows], pa.int32())], names=["query_id", "vector", "dims", "same", "list"])
+
     def deal(second: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for d, part, x in by_dims(batch, 1):
-                    same, least = part.column(3).to_pylist(), part.column(4).to_pylist()
-                    to = [lists.wanted(d, s, v, limit, z)[int(second)] for s, v, z in zip(same, x, least, strict=True)]
-                    at = pa.array(np.repeat(np.arange(len(part)), [len(t) for t in to]))
-                    out = part.take(at)
-                    yield pa.RecordBatch.from_arrays([*out.columns[:4], pa.array(np.concatenate([*to, np.empty(0, np.int32)]), pa.int32())], names=["query_id", "vector", "dims", "same", "list"])
+                    same, least, rows = part.column(3).to_pylist(), part.column(4).to_pylist(), max(1, GIVEN // max(1, d))
+                    for i in range(0, len(part), 256):
+                        to = [lists.wanted(d, s, v, limit, z)[int(second)] for s, v, z in zip(same[i : i + 256], x[i : i + 256], least[i : i + 256], strict=True)]
+                        yield from dealt_rows(part.slice(i, 256), to, rows)
 
         return run
 

@@ -77,3 +77,22 @@ def test_lists_far_away_are_not_read(spark):
     vectorlists.search(ready, ready.where("key % 20 = 0").withColumnRenamed("key", "query_id"), 5, compare, query_rows=4096, point_rows=8192)
     assert sum(pairs) < 2000 * 100 / 5
     assert sum(copies) <= 2 * 2000
+
+
+def test_memory_of_a_batch_is_bounded():
+    """Ten thousand vectors and four thousand centres: distances are held for some rows at a time, with the same outcome."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    lists, x = vectorlists.Lists({16: vectorlists.units(rng.normal(size=(4096, 16)))}), rng.normal(size=(10_000, 16))
+    x[5] = np.nan
+    tracemalloc.start()
+    number, far = lists.nearest(16, x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100_000_000
+    some = vectorlists.distances(vectorlists.units(x[:50]), lists.centres[16])
+    assert number[5] == vectorlists.ODD and far[5] == 0
+    assert all(number[i] == some[i].argmin() for i in range(50) if i != 5)
