@@ -29,21 +29,29 @@ SEVERITIES = ((0.85, "critical"), (0.70, "high"), (0.50, "medium"))
 def infer(premise: Column, hypothesis: Column) -> Column:
     """struct(label, score, needs_review) by rules: invented figures contradict, then open matters, denials, word overlap."""
     long = lambda t: F.filter(T.tokens(t), lambda w: F.length(w) > 1)
-    p, h = F.array_distinct(long(premise)), long(hypothesis)
-    overlap = F.size(F.filter(h, lambda w: F.array_contains(p, w))) / F.size(h)
-    numbers = T.numeric_consistency(premise, hypothesis)
-    needed = F.when(F.size(T.claim_amounts(hypothesis)) > 0, 0.72).otherwise(0.55)
     out = lambda label, score, review: F.struct(F.lit(label).alias("label"), score.cast("double").alias("score"), F.lit(review).alias("needs_review"))
-    high = F.least(F.lit(0.95), overlap)
-    return (
-        F.when(numbers == "contradiction", out("mau_thuan", F.lit(0.92), False))
-        .when((F.size(p) == 0) | (F.size(h) == 0), out("khong_ro", F.lit(0.0), True))
-        .when(T.contains_any(hypothesis, OPEN_MATTERS), out("khong_ro", F.lit(0.85), False))
-        .when(T.contains_any(hypothesis, DENIALS) & (overlap >= 0.45), F.struct(F.lit("mau_thuan").alias("label"), high.alias("score"), (high < CONFIDENT).alias("needs_review")))
-        .when((overlap >= needed) & (numbers != "mismatch_soft"), out("khop", high, False))
-        .when(numbers == "mismatch_soft", out("khong_ro", F.greatest(F.lit(0.2), overlap), True))
-        .otherwise(out("khong_ro", F.greatest(F.lit(0.1), overlap), True))
-    )
+
+    def judged(x: Column) -> Column:
+        overlap, numbers = x["overlap"], x["numbers"]
+        high = F.least(F.lit(0.95), overlap)
+        return (
+            F.when(numbers == "contradiction", out("mau_thuan", F.lit(0.92), False))
+            .when(x["empty"], out("khong_ro", F.lit(0.0), True))
+            .when(T.contains_any(hypothesis, OPEN_MATTERS), out("khong_ro", F.lit(0.85), False))
+            .when(T.contains_any(hypothesis, DENIALS) & (overlap >= 0.45), F.struct(F.lit("mau_thuan").alias("label"), high.alias("score"), (high < CONFIDENT).alias("needs_review")))
+            .when((overlap >= x["needed"]) & (numbers != "mismatch_soft"), out("khop", high, False))
+            .when(numbers == "mismatch_soft", out("khong_ro", F.greatest(F.lit(0.2), overlap), True))
+            .otherwise(out("khong_ro", F.greatest(F.lit(0.1), overlap), True))
+        )
+
+    def counted(x: Column) -> Column:
+        overlap = F.size(F.filter(x["h"], lambda w: F.array_contains(x["p"], w))) / F.size(x["h"])
+        needed = F.when(F.size(x["h_amounts"]) > 0, 0.72).otherwise(0.55)
+        return F.struct(overlap.alias("overlap"), T.amounts_agree(x["p_amounts"], x["h_amounts"]).alias("numbers"), needed.alias("needed"), ((F.size(x["p"]) == 0) | (F.size(x["h"]) == 0)).alias("empty"))
+
+    # Words, overlap and figures are used several times, the premise's words for every word: transform() over one row binds them to a variable.
+    found = F.struct(F.array_distinct(long(premise)).alias("p"), long(hypothesis).alias("h"), T.claim_amounts(premise).alias("p_amounts"), T.claim_amounts(hypothesis).alias("h_amounts"))
+    return F.transform(F.transform(F.array(found), counted), judged)[0]
 
 
 def evidence_violations(claims: DataFrame) -> DataFrame:
