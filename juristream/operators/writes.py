@@ -104,17 +104,24 @@ def count_or_named(keys: DataFrame, links: DataFrame, named: DataFrame, key: str
     return keys.select(key).distinct().join(a, key, "left").join(b, key, "left").select(key, n.alias("n"))
 
 
+#: Roots that are sent to every task.
+FEW_ROOTS = 200_000
+
+
 def by_alias(nodes: DataFrame, aliases: list[str], asked: DataFrame, *, tree: bool = True) -> DataFrame:
     """asked, node: nodes one of whose alias columns is what is asked for (column asked), or, with tree, that lie below it ('asked::...').
 
-    Every alias is a row of an index that is joined by equality; what lies below meets by the part before '::'.
+    Every alias is a row of an index that is joined by equality; what lies below meets by the part before '::'. A root may have most of the nodes, so
+    the roots that are asked for are sent to these if there are few.
     """
     index = nodes.select("node", F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(a).cast("string") for a in aliases])))).alias("alias"))
     exact = index.join(asked, index["alias"] == asked["asked"]).select("asked", "node")
     if not tree:
         return exact.distinct()
     below = index.where(F.contains("alias", F.lit("::"))).select("node", F.substring_index("alias", "::", 1).alias("root")).distinct()
-    return exact.union(below.join(asked, below["root"] == asked["asked"]).select("asked", "node")).distinct()
+    roots = asked.where(~F.contains("asked", F.lit("::"))).distinct()  # a root has no '::'
+    few = roots.limit(FEW_ROOTS + 1).count() <= FEW_ROOTS
+    return exact.union(below.join(F.broadcast(roots) if few else roots, F.col("root") == F.col("asked")).select("asked", "node")).distinct()
 
 
 def newest_first(rows: DataFrame, dates: list[str], key: str) -> DataFrame:
