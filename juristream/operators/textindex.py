@@ -15,6 +15,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -55,7 +58,7 @@ def add(docs: DataFrame, path: str, *, key: str, text: str, block: int = BLOCK,
 
     Each text is cut into words once. Keys must be new and not null; a null text has no words. Words of a document are counted before the shuffle."""
     spark = docs.sparkSession
-    words = T.tokens(F.col(text))
+    words = F.sort_array(T.tokens(F.col(text)))
     name = uuid.uuid4().hex
     sized = cut(docs.select(F.col(key).alias("key"), words.alias("words"))).withColumn("length", F.size("words"))
     # Lengths in bands of a quarter more each; a band's documents are dealt to as many blocks as it needs.
@@ -78,7 +81,11 @@ def add(docs: DataFrame, path: str, *, key: str, text: str, block: int = BLOCK,
         known = _keys(spark, path)
         if repeated or (known is not None and mine.select("key").join(known.select("key"), "key", "left_semi").limit(1).count()):
             raise ValueError("a key is there already")
-        counted = banded.select("key", "length", "block", F.explode("words").alias("term")).groupBy("block", "term", "key", "length").agg(F.count("*").alias("tf"))
+        # A word's count is the distance to where the next word begins, so nothing is shuffled for it.
+        begins = F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: ~F.get("words", i - 1).eqNullSafe(F.get("words", i - 2)))
+        begun = banded.where("length > 0").select("key", "length", "block", "words", begins.alias("begins"))
+        counts = F.transform("begins", lambda i, k: F.struct(F.get("words", i - 1).alias("term"), (F.coalesce(F.get("begins", k + 1), F.col("length") + 1) - i).cast("long").alias("tf")))
+        counted = begun.select("key", "length", "block", F.inline(counts))
         rows = counted.withColumn("folder", _folder(F.col("term"), folders)).repartitionByRange(_parts(n_words), "folder", "term", "block")
         grouped = rows.groupBy("folder", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.collect_list(F.struct("key", "tf", "length")).alias("docs"))
         if n_words:
@@ -148,6 +155,36 @@ def _shift(spark: SparkSession, path: str, live: list) -> Column:
     return out
 
 
+def _best_of_block(terms: list, docs: pa.ListArray, asks: pa.Table, limit: int, mean: float, k1: float, b: float) -> pa.Table:
+    """query_id, key, score of the first `limit` documents of one block for each row of asks (query_id, terms: term and idf). docs: the postings of each of terms."""
+    sizes, flat = pc.list_value_length(docs).to_numpy(zero_copy_only=False), docs.flatten()
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = {t: slice(e - n, e) for t, n, e in zip(terms, sizes, ends, strict=True)}
+    keys = flat.field("key").dictionary_encode()
+    own, place = keys.indices.to_numpy(zero_copy_only=False), np.empty(len(keys.dictionary), "int64")
+    place[pc.sort_indices(keys.dictionary).to_numpy()] = np.arange(len(place))
+    tf, length = (flat.field(c).to_numpy(zero_copy_only=False).astype("float64") for c in ("tf", "length"))
+    part = weight(tf, length, mean, k1, b)
+    rows, found, scores = [own[:0]], [own[:0]], [part[:0]]
+    for n, words in enumerate(asks["terms"].to_pylist()):
+        total = np.zeros(len(place))
+        for w in words:
+            if w["term"] in at:
+                here = at[w["term"]]  # a document has a word once
+                total[own[here]] += w["idf"] * part[here]
+        hits = np.flatnonzero(total)
+        # Sums of doubles depend on their order: equal scores are equal to nine digits.
+        near = np.floor(total[hits] * 1e9 + 0.5) / 1e9
+        if len(hits) > limit:
+            least = np.partition(near, len(near) - limit)[len(near) - limit]
+            hits, near = hits[near >= least], near[near >= least]
+        first = np.lexsort((place[hits], -near))[:limit]
+        rows.append(np.full(len(first), n))
+        found.append(hits[first])
+        scores.append(near[first])
+    return pa.table({"query_id": asks["query_id"].take(pa.array(np.concatenate(rows))), "key": keys.dictionary.take(pa.array(np.concatenate(found))), "score": np.concatenate(scores)})
+
+
 class Search:
     """One batch of queries (query_id, text) against the collection at `path`; hits() is what it finds.
 
@@ -161,16 +198,16 @@ class Search:
         terms = cut(queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")))
         if self.postings is None:
             return
-        self.mean = F.lit(live["words"] / live["n"])
+        self.mean = live["words"] / live["n"]
         # A word's folder is told from the word, so that other folders are pruned while the query runs.
-        words = terms.select("term").distinct().withColumn("folders", F.explode(F.array(*map(F.lit, live["folders"])))).withColumn("folder", _folder(F.col("term"), F.col("folders")))
+        self.words = cut(terms.select("term").distinct().withColumn("folders", F.explode(F.array(*map(F.lit, live["folders"])))).withColumn("folder", _folder(F.col("term"), F.col("folders"))))
         bounds = self.postings.select("segment", "folders", "folder", "term", "block", "n", "most", "least")
-        found = bounds.join(_small(words, 1_000_000), ["folders", "folder", "term"])
+        found = bounds.join(_small(self.words, 1_000_000), ["folders", "folder", "term"])
         found = cut(found)  # rows of words that some query has, without postings
         df = found.groupBy("term").agg(F.sum("n").alias("df"))
-        rated = terms.join(df, "term").select("query_id", "term", idf(F.lit(float(live["n"])), F.col("df")).alias("idf"))
-        every = _small(rated, 200_000).join(found, "term")
-        self.asked = cut(every.withColumn("bound", F.col("idf") * weight(F.col("most"), F.col("least"), self.mean, k1, b)))
+        self.rated = cut(terms.join(df, "term").select("query_id", "term", idf(F.lit(float(live["n"])), F.col("df")).alias("idf")))
+        every = _small(self.rated, 200_000).join(found, "term")
+        self.asked = every.withColumn("bound", F.col("idf") * weight(F.col("most"), F.col("least"), F.lit(self.mean), k1, b))
         # A block's bound, and how many of its documents are hits at least.
         blocks = cut(self.asked.groupBy("query_id", "segment", "block").agg(F.sum("bound").alias("bound"), F.max("n").alias("n")))
         w = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block")
@@ -183,14 +220,24 @@ class Search:
         self.second = rest.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
 
     def _scores(self, blocks: DataFrame) -> DataFrame:
-        """query_id, key, score of the documents in some blocks that hold a word of the query."""
-        wanted = self.asked.join(blocks.select("query_id", "segment", "block"), ["query_id", "segment", "block"], "left_semi").select("query_id", "segment", "folder", "term", "block", "idf")
-        # Postings are read where a wanted block is; their folders are pruned while the query runs.
-        met = self.postings.select("segment", "folder", "term", "block", "docs").join(_small(wanted, 500_000), ["segment", "folder", "term", "block"])
-        each = met.select("query_id", "idf", F.explode("docs").alias("d"))
-        part = F.col("idf") * weight(F.col("d.tf"), F.col("d.length"), self.mean, self.k1, self.b)
-        # Sums of doubles depend on their order: equal scores are equal to nine digits.
-        return each.groupBy("query_id", F.col("d.key").alias("key")).agg(F.round(F.sum(part), 9).alias("score"))
+        """query_id, key, score of the best `limit` documents of each block for each query that reads it.
+
+        A block's postings meet in one task, once for all queries; pairs of a query and a document never leave it."""
+        limit, mean, k1, b = self.limit, self.mean, self.k1, self.b
+        read = blocks.select("query_id", "segment", "block")
+        some = read.select("segment", "block").distinct()
+        # Folders without a word of any query are pruned while the query runs.
+        met = self.postings.select("segment", "folders", "folder", "term", "block", "docs").join(_small(self.words, 1_000_000), ["folders", "folder", "term"])
+        met = met.join(_small(some, 500_000), ["segment", "block"], "left_semi").select("segment", "block", "term", "docs")
+        asks = self.rated.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms"))
+        asks = read.join(_small(asks, 100_000), "query_id").select("segment", "block", "query_id", "terms")
+        key = self.postings.schema["docs"].dataType.elementType["key"].dataType.simpleString()
+
+        def score(post: pa.Table, asks: pa.Table) -> pa.Table:
+            return _best_of_block(post["term"].to_pylist(), post["docs"].combine_chunks(), asks, limit, mean, k1, b)
+
+        out = f"query_id {self.types}, key {key}, score double"
+        return met.groupBy("segment", "block").cogroup(asks.groupBy("segment", "block")).applyInArrow(score, out)
 
     def _best(self, scores: DataFrame) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")

@@ -98,3 +98,15 @@ def test_an_interrupted_addition_is_not_seen(spark, tmp_path, monkeypatch):
     assert found(spark, path) == before
     textindex.add(docs.withColumn("doc_id", F.col("doc_id") + 500), path, key="doc_id", text="text")
     assert found(spark, path) == plain([*documents(20), *((k + 500, t) for k, t in documents(20))], QUERIES, 3)
+
+
+def test_a_block_gives_its_best_documents_and_no_pairs_besides(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    docs = documents(200)
+    textindex.add(spark.createDataFrame(docs, "doc_id long, text string"), path, key="doc_id", text="text", block=32)
+    asked = spark.createDataFrame([("q", "w0 w1"), ("r", "w0 w2")], "query_id string, text string")
+    s = textindex.Search(spark, path, asked, 3)
+    read = s.asked.select("query_id", "segment", "block").distinct()
+    assert s._scores(read).count() <= 3 * read.count()
+    got = [(r["query_id"], r["key"], round(r["score"], 5), r["position"]) for r in s.hits(spark).collect()]
+    assert sorted(got) == plain(docs, [("q", "w0 w1"), ("r", "w0 w2")], 3)
