@@ -43,12 +43,18 @@ def ranked(scored: DataFrame, partition: Sequence[str], order: Sequence[Column],
     return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
 
 
+def _sent(few: DataFrame) -> DataFrame:
+    """The side of a join that goes to the other one: as a broadcast where it has few enough rows, else both are sorted. The other side is never sent, however
+    small the files are that it is derived from."""
+    return F.broadcast(few) if bounded(few, 100_000) else few.hint("merge")
+
+
 def exact(provisions: DataFrame, identifiers: DataFrame) -> DataFrame:
     """identifiers (query_id, identifier) that name a version, a lineage or (in any case) a document: query_id, provision_id, lineage_id, score."""
     rows = provisions.select("provision_id", "lineage_id", "logical_vb_id")
     names = rows.select("provision_id", "lineage_id", F.explode(F.array(*[F.struct(k.alias("identifier"), F.lit(v).alias("score")) for k, v in ((F.col("provision_id"), EXACT["provision"]), (F.col("lineage_id"), EXACT["lineage"]), (F.upper("logical_vb_id"), EXACT["document"]))])).alias("n"))
     asked = identifiers.select("query_id", F.explode(F.array_distinct(F.array("identifier", F.upper("identifier")))).alias("identifier"))
-    found = names.select("provision_id", "lineage_id", "n.*").join(asked, "identifier")
+    found = names.select("provision_id", "lineage_id", "n.*").join(_sent(asked), "identifier")
     return found.groupBy("query_id", "provision_id", "lineage_id").agg(F.max("score").alias("score"))
 
 
@@ -383,22 +389,24 @@ def select_context(hits: DataFrame, queries: DataFrame, *, least: float = RELEVA
     """
     asked_text = F.col("text")
     asked = queries.where(~D.small_talk(asked_text)).select("query_id", D.names_document(asked_text).alias("_named"), F.transform(T.document_numbers(asked_text), T.plain_lower).alias("_numbers"), D.question_profile(asked_text).alias("_profile"))
-    rows = hits.join(cut(asked), "query_id")
+    # Questions go to the passages, which stay where they are.
+    rows = hits.join(_sent(cut(asked)), "query_id")
     own = Window.partitionBy("query_id")
 
     named = rows.where("_named").withColumn("_hit", F.exists("_numbers", lambda n: F.contains(T.plain_lower(F.col("key")), n)))
-    named = named.withColumn("_any", F.bool_or("_hit").over(own)).where(F.col("_hit") | ~F.col("_any"))
+    named = named.join(_sent(cut(named.groupBy("query_id").agg(F.bool_or("_hit").alias("_any")))), "query_id").where(F.col("_hit") | ~F.col("_any"))
     named = named.withColumn("_at", F.row_number().over(own.orderBy("position", "key"))).where(F.col("_at") <= most_named)
 
     fit = D.profile_fit(F.col("_profile"), F.concat_ws(" ", "key", "text"))
     free = rows.where(~F.col("_named")).withColumn("_fit", F.when(F.size("_profile.terms") > 0, fit)).where(F.col("_fit").isNull() | (F.col("_fit") >= least))
-    free = cut(free.withColumn("_at", F.row_number().over(own.orderBy(F.desc_nulls_last("_fit"), "position", "key"))))
+    # By fit, position and key; no query's passages are numbered in one task.
+    free = cut(free.withColumn("_at", F.struct((-F.col("_fit")).alias("fit"), "position", "key")))
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"]), " ")
     whole = free.groupBy("query_id", "document").agg(texts.alias("_texts"), F.any_value("_profile").alias("_profile"), F.count("*").alias("_items"), F.min("_at").alias("_first"))
     whole = whole.withColumn("_whole", D.profile_fit(F.col("_profile"), F.concat_ws(" ", "document", "_texts")))
     best = whole.withColumn("_n", F.row_number().over(own.orderBy(F.desc("_whole"), F.desc("_items"), "_first"))).withColumn("_all", F.sum("_items").over(own)).where("_n = 1")
     one = F.when((F.col("_all") > most) & (F.col("_whole") > 0), F.col("document"))
-    kept = free.join(best.select("query_id", one.alias("_one")), "query_id").where(F.col("_one").isNull() | (F.col("document") == F.col("_one")))
+    kept = free.join(_sent(cut(best.select("query_id", one.alias("_one")))), "query_id").where(F.col("_one").isNull() | (F.col("document") == F.col("_one")))
     kept = kept.withColumn("_at", F.row_number().over(own.orderBy("_at"))).where(F.col("_at") <= most)
     out = ["query_id", "document", "key", "text", F.col("_at").alias("position")]
     return named.select(*out).unionByName(kept.select(*out))
@@ -419,7 +427,7 @@ def keyword_search(queries: DataFrame, passages: DataFrame, limit: int = KEYWORD
     by_word = asked.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("_k", lambda k: T.tokens(k))))).alias("term"))
     words = passages.select("key", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     met = words.join(F.broadcast(by_word) if bounded(by_word, 100_000) else by_word, "term").select("query_id", "key").distinct()
-    both = met.join(passages.select("key", body.alias("_b")), "key").join(asked, "query_id")
+    both = met.join(passages.select("key", body.alias("_b")).hint("merge"), "key").join(_sent(asked), "query_id")
     count = lambda terms: F.size(F.filter(terms, lambda t: F.contains(F.col("_b"), t)))
     hits = both.withColumn("_required", count(F.col("_r"))).withColumn("_found", count(F.col("_k"))).where("_found > 0 AND (size(_r) = 0 OR _required > 0)")
     scored = hits.select("query_id", "key", (F.col("_found") + 2 * F.col("_required")).alias("hits"))
@@ -435,19 +443,20 @@ def stepwise(queries: DataFrame, provisions: DataFrame, vectors: DataFrame | Non
     """
     ids, numbers = T.legal_identifiers(F.col("text")), T.document_numbers(F.regexp_replace("text", r"\S+::D\S+", " "))  # an id's own number names no document besides
     named = queries.select("query_id", F.explode(F.concat(ids, F.transform(numbers, T.document_number))).alias("identifier"))
-    direct = exact(provisions, named).select("query_id", F.col("provision_id").alias("key"), "score")
+    direct = exact(provisions, named).select("query_id", F.col("provision_id").alias("key"), "score").where("key IS NOT NULL")
+    direct = cut(ranked(direct, ["query_id"], [F.desc("score"), F.col("key")], limit).drop("position"))
     rest = queries.join(direct.select("query_id").distinct(), "query_id", "left_anti").where((F.size(ids) == 0) | (F.size(numbers) > 0))
     body = provisions.select(F.col("provision_id").alias("key"), F.col("logical_vb_id").alias("document"), "text")
     found = None
     if vectors is not None:
         near = vector_top_k(vectors, rest.select("query_id", "vector"), key="provision_id", vector="vector", limit=VECTOR_POOL)
-        found = near.select("query_id", "key", "score").join(body, "key").where(T.readable(F.col("text"))).select("query_id", "key", "score")
+        found = body.join(_sent(near.select("query_id", "key", "score")), "key").where(T.readable(F.col("text"))).select("query_id", "key", "score")
     unmet = rest if found is None else rest.where(F.size(numbers) > 0).unionByName(rest.where(F.size(numbers) == 0).join(found.select("query_id").distinct(), "query_id", "left_anti"))
     words = keyword_search(unmet.select("query_id", "text"), body).select("query_id", "key", "score")
     every = words if found is None else found.unionByName(words)
-    once = every.groupBy("query_id", "key").agg(F.max("score").alias("score"))
-    readable = once.join(body, "key").where(T.readable(F.col("text")))
+    once = cut(every.groupBy("query_id", "key").agg(F.max("score").alias("score")))
+    readable = body.join(_sent(once), "key").where(T.readable(F.col("text")))
     fit = relevant(readable.select("query_id", "key", "text", "score"), rest.select("query_id", "text"))
     later = fit.select("query_id", "key", F.col("value").alias("score"))
-    out = direct.unionByName(later).join(body, "key")
+    out = body.join(_sent(cut(direct.unionByName(later))), "key")
     return ranked(out, ["query_id"], [F.desc("score"), F.col("key")], limit).select("query_id", "key", "document", "text", "score", "position")
