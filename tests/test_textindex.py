@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from juristream.operators import retrieval, textindex
+from juristream.plans import retrieval as plans
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -110,3 +111,8 @@ def test_a_block_gives_its_best_documents_and_no_pairs_besides(spark, tmp_path):
     assert s._scores(read).count() <= 3 * read.count()
     got = [(r["query_id"], r["key"], round(r["score"], 5), r["position"]) for r in s.hits(spark).collect()]
     assert sorted(got) == plain(docs, [("q", "w0 w1"), ("r", "w0 w2")], 3)
+
+
+def test_texts_stay_where_few_hits_meet_them(spark, sf_dir):
+    plan = plans.token_overlap_rerank(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
