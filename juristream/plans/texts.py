@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from juristream.functions import arrow
 from juristream.functions import text as T
+from juristream.operators import frequent
 from juristream.plans.common import Collected, table
 
 found = Collected()
@@ -47,10 +48,10 @@ g AS (SELECT doc_id, unnest(list_distinct(list_transform(generate_series(1, len(
 SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 5
 """)
 def doc_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-word runs that at least five documents have; runs are made distinct inside their row."""
+    """Three-word runs that at least five documents have; runs are made distinct inside their row. Only what may be frequent is shuffled."""
     words = table(spark, sf_dir, "documents").select(T.tokens(F.col("text")).alias("w"))
     grams = words.select(F.explode(F.array_distinct(T.word_ngrams(F.col("w"), 3))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 5")
+    return frequent.maybe_frequent(grams, "gram", 5).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 5")
 
 
 @found.add(r"""
