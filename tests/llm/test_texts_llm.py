@@ -3,6 +3,7 @@
 import array
 import hashlib
 import random
+import re
 import sys
 from pathlib import Path
 
@@ -104,6 +105,37 @@ def test_repeats(spark, documents, length, monkeypatch):
     assert passages.remove_repeats(df.limit(0), length=length).count() == 0
 
 
+def plain_word_repeats(texts, words):
+    """The texts without the runs of words that start elsewhere too."""
+    places, starts = {}, [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for t in texts]
+    for i, (t, w) in enumerate(zip(texts, starts, strict=True)):
+        for a in range(len(w) - words + 1):
+            places.setdefault(tuple(t[x:y] for x, y in w[a : a + words]), []).append((i, w[a][0], w[a + words - 1][1]))
+    gone = [set() for _ in texts]
+    for i, x, y in (p for found in places.values() if len(found) > 1 for p in found):
+        gone[i].update(range(x, y))
+    return ["".join(c for k, c in enumerate(t) if k not in g) for t, g in zip(texts, gone, strict=True)]
+
+
+@pytest.mark.parametrize("hot", [passages.HOT_BYTES, 0])
+def test_repeats_of_fifty_words(spark, hot, monkeypatch):
+    """Short words: fifty-one of them take fewer than 400 bytes, and blanks between them differ."""
+    monkeypatch.setattr(passages, "HOT_BYTES", hot)
+    r = random.Random(5)
+    some = lambda n: [r.choice("abcdefghäöü") + r.choice("abcdefgh") * r.randrange(4) + str(r.randrange(9)) for _ in range(n)]
+    shared, forty_nine, line = some(51), some(49), some(50)
+    texts = [" ".join(some(80) + shared + some(30)), "\n".join(shared) + " " + " ".join(some(60)), "\t ".join(some(9) + shared)]
+    texts += [" ".join(some(20) + forty_nine + some(20)), " ".join(some(5) + forty_nine + some(70)), " ".join([*some(3), *line, "x", *line]), "ha " * 60, "", "kurz", " ".join(some(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc"]["doc_id"]: x["text"] for x in passages.remove_repeats(df, words=50, with_text=True).collect()}
+    want = plain_word_repeats(texts, 50)
+    assert max(len(" ".join(x).encode()) for x in (shared, line)) < 400
+    assert [got[i] for i in range(len(texts))] == want
+    assert [want[i] == t for i, t in enumerate(texts)] == [False] * 3 + [True] * 2 + [False] * 2 + [True] * 3
+    plain = {x["doc"]["doc_id"]: x["text"] for x in passages.remove_repeats(df, with_text=True).collect()}
+    assert all(plain[i] == t for i, t in enumerate(texts))
+
+
 def test_suffix_arrays():
     r = np.random.default_rng(4)
     for n, letters in ((1, 2), (2, 1), (50, 1), (300, 2), (500, 4), (2000, 26), (3000, 2)):
